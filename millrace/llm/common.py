@@ -119,3 +119,16 @@ def chunked(key: int, vector: np.ndarray) -> pd.DataFrame:
     """Rows for ``summed_vector``; chunks that hold only zeros are left out."""
     rows = [(key, i // CHUNK, vector[i : i + CHUNK].tobytes()) for i in range(0, len(vector), CHUNK) if vector[i : i + CHUNK].any()]
     return pd.DataFrame(rows, columns=["key", "chunk", "data"]).astype({"key": "int32", "chunk": "int32"})
+
+
+#: A table up to this size is broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 8 << 20
+
+
+def broadcast_if_small(df: DataFrame, row_bytes) -> DataFrame:
+    """``df`` (already written by ``cut`` or ``staged``) marked for broadcast if its measured size allows.
+
+    ``row_bytes`` is a column expression with a row's bytes.
+    """
+    size = df.agg(F.sum(row_bytes).alias("b")).first()["b"] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

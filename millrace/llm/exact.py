@@ -7,9 +7,9 @@ or its texts have ended. Only bytes decide: no digest is compared.
 The digits grow (64, 256, 1024, ... bytes), so a text of n bytes takes about
 log4(n / 64) levels. Each level aggregates (group, digit) with map-side
 combining, so a digit shared by a third of all rows reaches the reducer as one
-row a map task; it joins the group's number back to its rows by broadcast only
-while the table of surviving groups is under ``BROADCAST_BYTES``, else by a
-shuffle join that adaptive execution may split.
+row a map task; the group's number joins back to its rows by a shuffle join that
+adaptive execution may split at a hot digit. Whole texts are shuffled once, at
+the first level; later levels hold only what is still undecided.
 """
 
 from __future__ import annotations
@@ -17,12 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, staged
 
 FIRST_DIGIT = 64
 GROWTH = 4
-#: A table of surviving groups up to this size is broadcast; beyond it the join shuffles.
-BROADCAST_BYTES = 8 << 20
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,14 +43,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         keyed = rows.select("doc_id", "text_sha256", "grp", digit.alias("digit"), ended.alias("ended"), F.substring(F.col("rest"), width + 1, 2_147_483_647).alias("rest"))
         groups = keyed.groupBy("grp", "digit", "ended").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"))
         several = cut(groups.filter("n > 1").withColumn("next", F.monotonically_increasing_id()))
-        size = several.agg(F.sum(F.length("digit") + 48).alias("b")).first()["b"] or 0
         tagged = several.select(F.col("grp").alias("g"), F.col("digit").alias("d"), F.col("ended").alias("e"), "n", "keep_id", "next")
-        tagged = F.broadcast(tagged) if size <= BROADCAST_BYTES else tagged
-        met = keyed.join(tagged, (F.col("grp") == F.col("g")) & (F.col("digit") == F.col("d")) & (F.col("ended") == F.col("e")), "left")
+        met = keyed.join(tagged.hint("merge"), (F.col("grp") == F.col("g")) & (F.col("digit") == F.col("d")) & (F.col("ended") == F.col("e")), "left")
         done.append(met.filter("n is null or ended").select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "text_sha256"))
         if not several.filter("not ended").head(1):
             break
-        rows = cut(met.filter("n is not null and not ended").select("doc_id", "text_sha256", F.col("next").alias("grp"), "rest"))
+        rows = staged(met.filter("n is not null and not ended").select("doc_id", "text_sha256", F.col("next").alias("grp"), "rest"), "radix")
         width *= GROWTH
     out = done[0]
     for part in done[1:]:

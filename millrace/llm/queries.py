@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, pii, spm
+from . import ann, exact, langid, packing, pii, spm, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,26 @@ def _tokenizer() -> tuple[str, str, str]:
     return P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), *_tokenizer())
 
 
+def op3_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +59,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_warc": """
+            with t as (select page_id, coalesce(html, '') as body from pages),
+            s as (select page_id, body, octet_length(encode(body)) as n from t),
+            g as (select body, max(page_id) as keep from s where n >= 1000 group by body)
+            select s.page_id, s.n as payload_bytes, sha1(s.body) as payload_digest,
+                   case when g.keep is null or g.keep = s.page_id then 'response' else 'revisit' end as record_type,
+                   case when g.keep <> s.page_id then g.keep end as refers_to
+            from s left join g on s.body = g.body and s.n >= 1000
+        """,
+        "op3_one_bit_codes": """
+            with v as (select vec_id, cast(embedding as double[]) as e from embeddings
+                       where embedding is not null and len(embedding) > 0
+                         and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+                         and len(list_filter(embedding, x -> x <> 0)) > 0),
+            p as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e) as score
+                  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
+            r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rk from p)
+            select query_id, cast(rk as integer) as rank, vec_id, score from r where rk <= 20
+        """,
         "op8_exact_dedup": """
             with t as (select doc_id, coalesce(text, '') as body from documents),
             g as (select body, max(doc_id) as keep_id, count(*) as group_size from t group by body)
