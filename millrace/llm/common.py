@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,15 +99,15 @@ def summed_vector(parts: DataFrame, key: str, length: int, dtype: str, combine=n
     """
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(pdf["data"].iloc[0], dtype=dtype).copy()
+        total = np.frombuffer(unpacked(pdf["data"].iloc[0]), dtype=dtype).copy()
         for b in pdf["data"].iloc[1:]:
-            combine(total, np.frombuffer(b, dtype=dtype), out=total)
-        return pd.DataFrame({"key": pdf["key"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "data": [total.tobytes()]})
+            combine(total, np.frombuffer(unpacked(b), dtype=dtype), out=total)
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "data": [packed(total.tobytes())]})
 
     out: dict[int, np.ndarray] = {}
     for r in parts.groupBy("key", "chunk").applyInPandas(add, "key int, chunk int, data binary").collect():
         whole = out.setdefault(r["key"], np.zeros(length, dtype=dtype))
-        piece = np.frombuffer(r["data"], dtype=dtype)
+        piece = np.frombuffer(unpacked(r["data"]), dtype=dtype)
         at = r["chunk"] * CHUNK
         whole[at : at + len(piece)] = piece
     return out
@@ -115,9 +116,17 @@ def summed_vector(parts: DataFrame, key: str, length: int, dtype: str, combine=n
 CHUNK = 1 << 15
 
 
+def packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def chunked(key: int, vector: np.ndarray) -> pd.DataFrame:
     """Rows for ``summed_vector``; chunks that hold only zeros are left out."""
-    rows = [(key, i // CHUNK, vector[i : i + CHUNK].tobytes()) for i in range(0, len(vector), CHUNK) if vector[i : i + CHUNK].any()]
+    rows = [(key, i // CHUNK, packed(vector[i : i + CHUNK].tobytes())) for i in range(0, len(vector), CHUNK) if vector[i : i + CHUNK].any()]
     return pd.DataFrame(rows, columns=["key", "chunk", "data"]).astype({"key": "int32", "chunk": "int32"})
 
 

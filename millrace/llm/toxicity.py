@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,14 @@ from .common import chunked, crc_mod, map_texts, slices, summed_vector
 
 #: Labelled rows of each class that the classifier is fitted on, at most; chosen by a hash of the id.
 SAMPLE_ROWS = 2500
-#: Restored words of one sampled document that the fit sees, at most this many distinct.
-MAX_FEATURES = 20_000
-PREFIXES = (3, 4, 5, 6)
-L1 = 2e-4
-ROUNDS = 400
+#: Features that the fit sees: those with the largest difference between the classes.
+MAX_FEATURES = 4_000
+PREFIXES = (3, 4, 5, 6, 7, 8)
+#: A prefix that so many different words of a text share is a further feature.
+SHARED_BY = (2, 3)
+#: Penalty that chooses features, and the one that the chosen are fitted again with.
+L1, L1_AGAIN = 2e-3, 1e-4
+ROUNDS = 200
 #: Entries of a task's table of restored words; it is emptied when full.
 TABLE_ENTRIES = 300_000
 
@@ -43,7 +47,7 @@ LEET = {
 }
 SEPARATORS = frozenset(".-_~^'`,/\\·•​‌‍﻿­")
 # Channel costs, natural logs.
-REPLACED, WILD, DROPPED, GAP, BREAK = math.log(0.2), math.log(0.05), math.log(0.3), math.log(0.7), math.log(0.05)
+REPLACED, WILD, DROPPED, GAP, BREAK = math.log(0.2), math.log(0.05), math.log(0.3), math.log(0.7), math.log(0.005)
 ONCE_OF_TWO, TWICE_OF_TWO, ONCE_OF_MORE, TWICE_OF_MORE, KEPT_OF_MORE = math.log(0.02), math.log(0.98), math.log(0.6), math.log(0.38), math.log(0.02)
 
 STRIP = ".,;:?\"()[]{}<>…«»“”„¿"
@@ -133,11 +137,45 @@ class Restorer:
 
 
 def features(word: str) -> list[str]:
+    """A word's own features: itself and its prefixes."""
     return [word + "$"] + [word[:n] for n in PREFIXES if len(word) >= n]
 
 
-def fit_weights(docs: list[set[str]], labels: np.ndarray, rounds: int = ROUNDS, l1: float = L1) -> tuple[dict[str, float], float]:
-    """Non-negative L1-regularised logistic regression on feature presence: (weights, bias), classes weighted equally."""
+def with_counts(words: Iterable[tuple[str, ...]], known: dict[str, float] | None = None) -> set[str]:
+    """The features of a text from those of its different words; ``known`` limits the counted ones."""
+    seen: dict[str, int] = {}
+    for own in words:
+        for f in own:
+            seen[f] = seen.get(f, 0) + 1
+    out = set(seen)
+    for f, n in seen.items():
+        for least in SHARED_BY:
+            if n >= least and not f.endswith("$") and (known is None or f"{f}#{least}" in known):
+                out.add(f"{f}#{least}")
+    return out
+
+
+def solve(row: np.ndarray, col: np.ndarray, n_cols: int, labels: np.ndarray, weight: np.ndarray, l1: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Accelerated proximal gradient for weighted logistic loss, coefficients at least 0; (coefficients, bias)."""
+    n = len(labels)
+    w, b, z, zb, t = np.zeros(n_cols), -2.0, np.zeros(n_cols), -2.0, 1.0
+    step = 4.0 / (1.0 + min(float(np.bincount(row, minlength=n).max(initial=0)), 40.0))
+    for _ in range(rounds):
+        margin = zb + np.bincount(row, weights=z[col], minlength=n)
+        error = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels)
+        new = np.maximum(0.0, z - step * (np.bincount(col, weights=error[row], minlength=n_cols) + l1))
+        nb = zb - step * error.sum()
+        t2 = 1.0 if (new - w) @ (z - new) > 0 else (1 + math.sqrt(1 + 4 * t * t)) / 2  # restart the momentum
+        z, zb = new + (t - 1) / t2 * (new - w), nb + (t - 1) / t2 * (nb - b)
+        w, b, t = new, nb, t2
+    return w, b
+
+
+def fit_weights(docs: list[set[str]], labels: np.ndarray, rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
+    """Non-negative logistic regression on feature presence: (weights, bias), classes weighted equally.
+
+    The larger penalty chooses the features, the smaller one fits them.
+    """
     n_pos, n_neg = int(labels.sum()), int(len(labels) - labels.sum())
     if not n_pos or not n_neg:
         return {}, 0.0 if not len(labels) else (-3.0 if not n_pos else 3.0)
@@ -147,27 +185,17 @@ def fit_weights(docs: list[set[str]], labels: np.ndarray, rounds: int = ROUNDS,
         into = pos if y else neg
         for f in words:
             into[f] = into.get(f, 0) + 1
-    gain = {f: c / n_pos - neg.get(f, 0) / n_neg for f, c in pos.items() if c >= 3}
+    gain = {f: c / n_pos - neg.get(f, 0) / n_neg for f, c in pos.items() if c >= 2}
     chosen = sorted((f for f, g in gain.items() if g > 0), key=lambda f: (-gain[f], f))[:MAX_FEATURES]
-    number = {f: i for i, f in enumerate(chosen)}
-    row = np.array([i for i, d in enumerate(docs) for f in d if f in number], np.int64)
-    col = np.array([number[f] for d in docs for f in d if f in number], np.int64)
     weight = np.where(labels == 1, 0.5 / n_pos, 0.5 / n_neg)
-    w, b, z, zb, t = np.zeros(len(chosen)), -2.0, np.zeros(len(chosen)), -2.0, 1.0
-    # step from the largest row norm bound on the curvature
-    most = max(1.0, np.bincount(row, minlength=len(docs)).max(initial=0))
-    step = 4.0 / (1.0 + min(most, 40.0))
-    for _ in range(rounds):
-        margin = zb + np.bincount(row, weights=z[col], minlength=len(docs))
-        error = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels)
-        new = np.maximum(0.0, z - step * (np.bincount(col, weights=error[row], minlength=len(chosen)) + l1))
-        nb = zb - step * error.sum()
-        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        if (new - w) @ (z - new) > 0:  # restart the momentum
-            t2 = 1.0
-        z, zb = new + (t - 1) / t2 * (new - w), nb + (t - 1) / t2 * (nb - b)
-        w, b, t = new, nb, t2
-    return {f: float(w[i]) for f, i in number.items() if w[i] > 1e-3}, float(b)
+    w, b = np.zeros(0), -3.0
+    for l1, n in ((L1, rounds), (L1_AGAIN, 2 * rounds)):
+        number = {f: i for i, f in enumerate(chosen)}
+        pairs = [(i, number[f]) for i, d in enumerate(docs) for f in sorted(d & number.keys())]
+        row, col = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), ())))
+        w, b = solve(row, col, len(chosen), labels, weight, l1, n)
+        chosen, w = [f for f, x in zip(chosen, w) if x > 1e-3], w[w > 1e-3]
+    return dict(zip(chosen, w.tolist())), float(b)
 
 
 def fit_language(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -193,10 +221,11 @@ class Model:
     def scorer(self):
         """text -> score; holds the task's table of restored words."""
         restorer, weights, bias = Restorer(self.table), self.weights, self.bias
+        counted = {f.partition("#")[0] for f in weights}
         table: dict[str, tuple[str, ...]] = {}
 
         def active(token: str) -> tuple[str, ...]:
-            found = tuple(f for w in restorer.restore_token(token).split() for f in features(w) if f in weights)
+            found = tuple(w for w in restorer.restore_token(token).split() if any(f in counted for f in features(w)))
             if len(table) > TABLE_ENTRIES:
                 table.clear()
             if len(token) <= 60:
@@ -204,17 +233,17 @@ class Model:
             return found
 
         def score(text: str | None) -> float:
-            on: set[str] = set()
+            words: set[str] = set()
             if text:
                 for token in set(text.split()):
                     found = table.get(token)
                     if found is None:
                         found = active(token)
                     if found:
-                        on.update(found)
-                for w in restorer.spelled(text):
-                    on.update(f for f in features(w) if f in weights)
-            margin = bias + sum(weights[f] for f in sorted(on))
+                        words.update(found)
+                words.update(restorer.spelled(text))
+            on = with_counts((tuple(f for f in features(w) if f in counted) for w in words), weights) if words else ()
+            margin = bias + sum(weights[f] for f in sorted(on) if f in weights)
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, margin))))
 
         return score
@@ -248,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for r in map_texts(rows.filter(F.col("doc_id").isin(list(chosen))), start, "words string").collect():
             seen[r["doc_id"]] = r["words"]
     ids = sorted(seen)
-    weights, bias = fit_weights([{f for w in seen[i].split() for f in features(w)} for i in ids], np.array([chosen[i] for i in ids], np.int64))
+    weights, bias = fit_weights([with_counts(tuple(features(w)) for w in seen[i].split()) for i in ids], np.array([chosen[i] for i in ids], np.int64))
     return Model(table, weights, bias)
 
 
