@@ -6,7 +6,7 @@ inner product f of the code and the turned vector. For a query q the estimate
 of <q, o> is |o| <code, turned q> / f, and with high probability it is off by at
 most |o| |q| sqrt((1 - f^2) / f^2) * EPSILON / sqrt(D - 1). A candidate is
 reranked, in double precision, exactly if its upper bound reaches the k-th best
-exact score found so far in its block.
+exact score among its block's best estimates.
 
 All vectors are coded, none sampled. Queries and candidates meet in blocks:
 a query block is paired with each candidate block, and only the k best of each
@@ -25,12 +25,12 @@ from .common import staged
 
 #: Width of the error bound, in standard deviations of a coordinate of a random direction.
 EPSILON = 2.5
+#: The k-th best exact score among the FIRST * k best estimates is the floor for reranking.
+FIRST = 8
 SEED = 20240521
-CANDIDATE_ROWS = 4096
-QUERY_ROWS = 512
+CANDIDATE_ROWS = 16_384
+QUERY_ROWS = 256
 FAN = 64
-#: Rerank so many pairs at a time.
-PAIRS = 200_000
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -61,25 +61,32 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
     est[own] = -np.inf
     upper[own] = -np.inf
     n = len(ids)
-    if n > k + 1:
-        first = np.argpartition(-est, k, axis=1)[:, : k + 1]  # one more: the query itself may be among them
+    probe = FIRST * k + 1  # one more: the query itself may be among them
+    if n > probe:
+        # estimates that came out high are mostly too high, so the floor comes from many more than k of them
+        first = np.argpartition(-est, probe - 1, axis=1)[:, :probe]
         exact = np.einsum("qd,qkd->qk", queries, vectors[first])
         exact[np.take_along_axis(own, first, axis=1)] = -np.inf
-        kth = np.sort(exact, axis=1)[:, 1]
+        kth = np.sort(exact, axis=1)[:, -k]
         floor = np.where(np.isfinite(kth), kth - 1e-4 * (1 + np.abs(kth)), -np.inf)
         row, col = np.nonzero((upper >= floor.astype(np.float32)[:, None]) & ~own)
     else:
         row, col = np.nonzero(~own)
     score = np.empty(len(row))
-    for at in range(0, len(row), PAIRS):
-        part = slice(at, at + PAIRS)
-        score[part] = np.einsum("pd,pd->p", queries[row[part]], vectors[col[part]])
+    edges = np.searchsorted(row, np.arange(len(queries) + 1))
+    for q in range(len(queries)):
+        part = slice(edges[q], edges[q + 1])
+        score[part] = vectors[col[part]] @ queries[q]
+    reranked = len(row)
+    if n > probe:  # only what reaches the floor again can be among the k best
+        good = score >= floor[row]
+        row, col, score = row[good], col[good], score[good]
     cand = ids[col]
     order = np.lexsort((cand, -score, row))
     row, cand, score = row[order], cand[order], score[order]
     place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
     best = place < k
-    return row[best], cand[best], score[best], len(order)
+    return row[best], cand[best], score[best], reranked
 
 
 def nearest(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", epsilon: float = EPSILON) -> DataFrame:
