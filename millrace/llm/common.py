@@ -141,3 +141,13 @@ def broadcast_if_small(df: DataFrame, row_bytes) -> DataFrame:
     """
     size = df.agg(F.sum(row_bytes).alias("b")).first()["b"] or 0
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in ``gone`` (one column); rows with a null id stay.
+
+    ``gone`` is written once; it is broadcast only while its measured size allows,
+    else both sides shuffle by id.
+    """
+    ids = cut(gone.toDF("__gone").filter("__gone is not null").distinct())
+    return docs.join(broadcast_if_small(ids, F.lit(16)), docs[id_col].cast("long") == F.col("__gone"), "left_anti")

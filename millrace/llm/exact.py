@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, staged
+from .common import cut, staged, without
 
 FIRST_DIGIT = 64
 GROWTH = 4
@@ -62,5 +62,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A row stays if it holds the largest id of its group. Ids are taken as
     unique here; rows with a null id stay.
     """
-    gone = exact_groups(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    return without(docs, exact_groups(docs, id_col, text_col).filter("not kept").select("doc_id"), id_col)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, packed, slices, staged, summed_vector, unpacked
+from .common import chunked, packed, slices, staged, summed_vector, unpacked, without
 from .components import components
 
 SKETCH_BITS = 20
@@ -391,3 +391,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(smallest.hint("merge"), "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(classes.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their group, all columns kept; ids are taken as unique, rows with a null id stay."""
+    groups = near_groups(docs, id_col, text_col, shingle_words, percent)
+    return without(docs, groups.filter("doc_id <> component_id").select("doc_id"), id_col)

@@ -81,14 +81,14 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part i
 
 def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """The pieces of each document; ``(part, nth)`` is a piece's task and its place among the task's pieces of that length."""
-    schema = T._parse_datatype_string(PIECE + (", ids array<long>" if with_ids else ""))
+    schema = T._parse_datatype_string(PIECE + (", ids array<int>" if with_ids else ""))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         encode = encoder(tokenizer_path, ranks_path, pattern)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in slices(batches):
-            rows, ids = [], []
+            rows, ids = [], []  # ids: the pieces' bytes
             doc_ids = batch.column("doc_id")
             owner = []
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -102,14 +102,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern: str,
                     rows.append((k, start, to - start, zlib.crc32(piece), part, seen[to - start] - 1))
                     owner.append(i)
                     if with_ids:
-                        ids.append(np.frombuffer(piece, "<u4").astype(np.int64))
+                        ids.append(piece)
                     start, to, k = to, to + capacity, k + 1
             cols = [doc_ids.take(pa.array(owner, pa.int32()))]
             for j, kind in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())):
                 cols.append(pa.array([r[j] for r in rows], kind))
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
             if with_ids:
-                cols.append(pa.array(ids, pa.list_(pa.int64())))
+                offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in ids])]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> tuple[str, str, str]:
+def tokenizer() -> tuple[str, str, str]:
     import public_tokenizers as P
 
     return P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
@@ -24,7 +24,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), *_tokenizer())
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), *tokenizer())
 
 
 def op3_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
