@@ -10,8 +10,10 @@ matches, times the cost to verify them). A pair asks for the smaller l of the tw
 
 1. Equal sets collapse to a class (128-bit digest of the sorted hashes).
 2. Prefix shingles meet in hash buckets. A shingle shared by several classes
-   puts them under the smallest of them, its leader; (leader, member) rows are
-   distinct, so sixty shared shingles make one row.
+   puts them under the smallest of them, its leader; where, in order of set
+   size, the next set is too large to link with the one before, a new leader
+   begins. (leader, member) rows are distinct, so sixty shared shingles make
+   one row.
 3. Members of a leader are split into blocks of ``BLOCK``; pairs of blocks meet
    with their whole sets. There, pairs that share enough prefix shingles are
    verified exactly, and what leaves is a spanning star of what is linked: a
@@ -152,12 +154,13 @@ def prefixes(docs: DataFrame, order: Order, shingle_words: int, buckets: int, ho
         shingler = Shingler(shingle_words)
         sigs: dict[bytes, int] = {}
         tokens: list[np.ndarray] = []
+        lengths: list[int] = []
         size = 0
 
         def flush():
             both = np.concatenate(tokens)
             owner = np.repeat(np.arange(len(tokens), dtype=np.int32), [len(t) for t in tokens])
-            names = np.array(list(sigs), dtype="S16") if sigs else np.zeros(0, "S16")
+            sizes = np.array(lengths, np.int64)
             names = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, 16)
             burning = order.levels[(both & order.mask).astype(np.int64)] > hot_level
             if burning.any():
@@ -170,7 +173,7 @@ def prefixes(docs: DataFrame, order: Order, shingle_words: int, buckets: int, ho
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 part = slice(edges[b], edges[b + 1])
                 used, of = np.unique(owner[part], return_inverse=True)
-                yield _rows([b], data=[packed(np.int64(len(used)).tobytes() + names[used].tobytes() + of.astype(np.int32).tobytes() + both[part].tobytes())])
+                yield _rows([b], data=[packed(np.int64(len(used)).tobytes() + names[used].tobytes() + sizes[used].tobytes() + of.astype(np.int32).tobytes() + both[part].tobytes())])
 
         for batch in slices(batches):
             n, sig = [], []
@@ -181,48 +184,48 @@ def prefixes(docs: DataFrame, order: Order, shingle_words: int, buckets: int, ho
                 if len(s) and sig[-1] not in sigs:
                     sigs[sig[-1]] = len(sigs)
                     tokens.append(order.prefix(s)[0])
+                    lengths.append(len(s))
                     size += len(tokens[-1])
             yield _rows([-1] * len(n), batch.column("doc_id"), n, sig)
             if size > FLUSH_TOKENS:
                 yield from flush()
-                sigs, tokens, size = {}, [], 0
+                sigs, tokens, lengths, size = {}, [], [], 0
         if tokens:
             yield from flush()
 
     return docs.mapInArrow(run, "bucket int, doc_id long, n long, sig binary, data binary")
 
 
-def lead(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def lead(blobs: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(leaders, members) as arrays of 16 bytes, distinct, of one bucket's shingles that several classes share."""
-    names, owner, tokens, base = [], [], [], 0
+    names, sizes, owner, tokens, base = [], [], [], [], 0
     for blob in map(unpacked, blobs):
         k = int(np.frombuffer(blob, np.int64, 1)[0])
-        names.append(np.frombuffer(blob, "V16", k, 8))
-        m = (len(blob) - 8 - 16 * k) // 12
-        owner.append(np.frombuffer(blob, np.int32, m, 8 + 16 * k) + base)
-        tokens.append(np.frombuffer(blob[8 + 16 * k + 4 * m :], np.uint64))
+        names.append(np.frombuffer(blob, ">u8", 2 * k, 8))
+        sizes.append(np.frombuffer(blob, np.int64, k, 8 + 16 * k))
+        at = 8 + 24 * k
+        m = (len(blob) - at) // 12
+        owner.append(np.frombuffer(blob, np.int32, m, at) + base)
+        tokens.append(np.frombuffer(blob[at + 4 * m :], np.uint64))
         base += k
-    all_names = np.frombuffer(np.concatenate(names).tobytes(), ">u8").reshape(-1, 2).astype(np.uint64)
-    distinct, number = np.unique(all_names, axis=0, return_inverse=True)
-    number = number.reshape(-1)
-    token, who = np.concatenate(tokens), number[np.concatenate(owner)]
-    sort = np.lexsort((who, token))
+    distinct, first, number = np.unique(np.concatenate(names).astype(np.uint64).reshape(-1, 2), axis=0, return_index=True, return_inverse=True)
+    n = np.concatenate(sizes)[first]
+    token, who = np.concatenate(tokens), number.reshape(-1)[np.concatenate(owner)]
+    sort = np.lexsort((who, n[who], token))
     token, who = token[sort], who[sort]
-    first = np.concatenate([[True], token[1:] != token[:-1]])
-    fresh = first | np.concatenate([[True], who[1:] != who[:-1]])
-    token, who, first = token[fresh], who[fresh], first[fresh]
-    group = np.cumsum(first) - 1
+    starts = np.concatenate([[True], token[1:] != token[:-1]])
+    fresh = starts | np.concatenate([[True], who[1:] != who[:-1]])
+    token, who, starts = token[fresh], who[fresh], starts[fresh]
+    size = n[who]
+    starts |= np.concatenate([[True], 100 * size[:-1] < percent * size[1:]])
+    group = np.cumsum(starts) - 1
     several = np.bincount(group)[group] > 1
-    leader = who[first][group]
+    leader = np.minimum.reduceat(who, np.flatnonzero(starts))[group]
     pairs = np.unique(leader[several].astype(np.int64) * len(distinct) + who[several])
     as_bytes = distinct.astype(">u8")
     return as_bytes[pairs // len(distinct)], as_bytes[pairs % len(distinct)]
 
 
-def _sigs(x: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in x], pa.binary())
-
-
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, order: Order) -> list[tuple[int, int]]:
     """Spanning stars (root, other) of the pairs of ``left`` x ``right`` (boolean masks) that link."""
     k, percent = len(sets), order.percent
@@ -299,7 +302,7 @@ def classes_and_links(docs: DataFrame, shingle_words: int = 3, percent: int = 90
     def leaders(pdf):
         import pandas as pd
 
-        a, b = lead(list(pdf["data"]))
+        a, b = lead(list(pdf["data"]), percent)
         return pd.DataFrame({"cluster": [x.tobytes() for x in a], "sig": [x.tobytes() for x in b]}, columns=["cluster", "sig"])
 
     met = made.filter("bucket >= 0").select("bucket", "data").groupBy("bucket").applyInPandas(leaders, "cluster binary, sig binary")
