@@ -53,6 +53,7 @@ ONCE_OF_TWO, TWICE_OF_TWO, ONCE_OF_MORE, TWICE_OF_MORE, KEPT_OF_MORE = math.log(
 STRIP = ".,;:?\"()[]{}<>…«»“”„¿"
 SPELLED = re.compile(r"(?:(?<=\s)|^)\S(?:\s+\S){3,}(?=\s|$)")
 DOUBLED = re.compile(r"(.)\1")
+SAME = re.compile(r"(.)\1+")
 RUNS = re.compile(r"(.)\1*", re.S)
 
 
@@ -171,31 +172,42 @@ def solve(row: np.ndarray, col: np.ndarray, n_cols: int, labels: np.ndarray, wei
     return w, b
 
 
-def fit_weights(docs: list[set[str]], labels: np.ndarray, rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
+def of_words(words: list[str]) -> set[str]:
+    return with_counts(tuple(features(w)) for w in words)
+
+
+def fit_weights(docs: list[list[str]], labels: np.ndarray, rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
     """Non-negative logistic regression on feature presence: (weights, bias), classes weighted equally.
 
-    The larger penalty chooses the features, the smaller one fits them.
+    ``docs`` are lists of different restored words; their features are made one
+    document at a time. The larger penalty chooses the features, the smaller one
+    fits them.
     """
     n_pos, n_neg = int(labels.sum()), int(len(labels) - labels.sum())
     if not n_pos or not n_neg:
         return {}, 0.0 if not len(labels) else (-3.0 if not n_pos else 3.0)
     pos: dict[str, int] = {}
-    neg: dict[str, int] = {}
-    for words, y in zip(docs, labels):
-        into = pos if y else neg
-        for f in words:
-            into[f] = into.get(f, 0) + 1
-    gain = {f: c / n_pos - neg.get(f, 0) / n_neg for f, c in pos.items() if c >= 2}
+    for at in np.flatnonzero(labels == 1):
+        for f in of_words(docs[at]):
+            pos[f] = pos.get(f, 0) + 1
+    pos = {f: c for f, c in pos.items() if c >= max(2, 0.004 * n_pos)}
+    neg = dict.fromkeys(pos, 0)
+    for at in np.flatnonzero(labels == 0):
+        for f in of_words(docs[at]):
+            if f in neg:
+                neg[f] += 1
+    gain = {f: c / n_pos - neg[f] / n_neg for f, c in pos.items()}
     chosen = sorted((f for f, g in gain.items() if g > 0), key=lambda f: (-gain[f], f))[:MAX_FEATURES]
     weight = np.where(labels == 1, 0.5 / n_pos, 0.5 / n_neg)
-    w, b = np.zeros(0), -3.0
-    for l1, n in ((L1, rounds), (L1_AGAIN, 2 * rounds)):
-        number = {f: i for i, f in enumerate(chosen)}
-        pairs = [(i, number[f]) for i, d in enumerate(docs) for f in sorted(d & number.keys())]
-        row, col = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), ())))
-        w, b = solve(row, col, len(chosen), labels, weight, l1, n)
-        chosen, w = [f for f, x in zip(chosen, w) if x > 1e-3], w[w > 1e-3]
-    return dict(zip(chosen, w.tolist())), float(b)
+    number = {f: i for i, f in enumerate(chosen)}
+    pairs = [(i, k) for i, d in enumerate(docs) for k in sorted(number[f] for f in of_words(d) if f in number)]
+    row, col = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), ())))
+    w, b = solve(row, col, len(chosen), labels, weight, L1, rounds)
+    left = np.flatnonzero(w > 1e-3)
+    on = np.isin(col, left)
+    w, b = solve(row[on], np.searchsorted(left, col[on]), len(left), labels, weight, L1_AGAIN, 2 * rounds)
+    chosen = [chosen[i] for i in left]
+    return {f: x for f, x in zip(chosen, w.tolist()) if x > 1e-3}, float(b)
 
 
 def fit_language(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -224,8 +236,20 @@ class Model:
         counted = {f.partition("#")[0] for f in weights}
         table: dict[str, tuple[str, ...]] = {}
 
+        # A restored word keeps its letters but for repeats, so without repeats it starts as a feature does, or it has none:
+        # plain letters that start otherwise need no decoding.
+        single = {SAME.sub(r"\1", f.rstrip("$")) for f in counted}
+        lengths = sorted({len(f) for f in single})
+
+        def hopeless(token: str) -> bool:
+            t = token.lower().strip(STRIP)
+            if not t.isalpha():
+                return False
+            t = SAME.sub(r"\1", t)
+            return not any(t[:n] in single for n in lengths)
+
         def active(token: str) -> tuple[str, ...]:
-            found = tuple(w for w in restorer.restore_token(token).split() if any(f in counted for f in features(w)))
+            found = () if hopeless(token) else tuple(w for w in restorer.restore_token(token).split() if any(f in counted for f in features(w)))
             if len(table) > TABLE_ENTRIES:
                 table.clear()
             if len(token) <= 60:
@@ -277,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for r in map_texts(rows.filter(F.col("doc_id").isin(list(chosen))), start, "words string").collect():
             seen[r["doc_id"]] = r["words"]
     ids = sorted(seen)
-    weights, bias = fit_weights([with_counts(tuple(features(w)) for w in seen[i].split()) for i in ids], np.array([chosen[i] for i in ids], np.int64))
+    weights, bias = fit_weights([seen[i].split() for i in ids], np.array([chosen[i] for i in ids], np.int64))
     return Model(table, weights, bias)
 
 
