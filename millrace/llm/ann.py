@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 #: Width of the error bound, in standard deviations of a coordinate of a random direction.
-EPSILON = 2.5
+EPSILON = 3.0
 #: The k-th best exact score among the FIRST * k best estimates is the floor for reranking.
 FIRST = 8
 SEED = 20240521

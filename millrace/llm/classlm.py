@@ -112,7 +112,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
             r0, l0 = r.copy(), l.copy()
             r0[k] -= s
             l0[k] -= s
-            rows, cols = table.sum(axis=1), table.sum(axis=0)
+            rows, cols = table.sum(axis=1) + l0, table.sum(axis=0) + r0  # u's neighbours stay where they are
             # gain of adding u to each class: its row, its column, the diagonal once, the margins
             fx = xlogx(table)
             gain = (xlogx(table + r0[None, :]) - fx).sum(axis=1) + (xlogx(table + l0[:, None]) - fx).sum(axis=0)

@@ -76,16 +76,6 @@ def oracle_sql() -> dict[str, str]:
                    case when g.keep <> s.page_id then g.keep end as refers_to
             from s left join g on s.body = g.body and s.n >= 1000
         """,
-        "op3_one_bit_codes": """
-            with v as (select vec_id, cast(embedding as double[]) as e from embeddings
-                       where embedding is not null and len(embedding) > 0
-                         and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-                         and len(list_filter(embedding, x -> x <> 0)) > 0),
-            p as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e) as score
-                  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
-            r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rk from p)
-            select query_id, cast(rk as integer) as rank, vec_id, score from r where rk <= 20
-        """,
         "op8_exact_dedup": """
             with t as (select doc_id, coalesce(text, '') as body from documents),
             g as (select body, max(doc_id) as keep_id, count(*) as group_size from t group by body)
