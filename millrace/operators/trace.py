@@ -106,9 +106,10 @@ def kernel_usage(trace: DataFrame, page: int = PAGE) -> DataFrame:
     Allocations are cut into pages, so the range join is an equality on
     (query, page) refined by the range.
     """
-    w = Window.partitionBy("query").orderBy("idx").rowsBetween(0, Window.unboundedFollowing)
+    # the next launch, looking back from the end: a frame that only grows costs one pass
+    w = Window.partitionBy("query").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
     launch = F.when((F.col("api") == "cudaLaunch") & (F.col("phase") == "intercepted"), F.struct("idx", "ts"))
-    args = trace.withColumn("l", F.first(launch, ignorenulls=True).over(w)).filter("api = 'cudaSetupArgument' and phase = 'intercepted' and arg is not null and l is not null").select("query", F.col("idx").alias("arg_idx"), "arg", F.col("l.idx").alias("launch_idx"))
+    args = trace.withColumn("l", F.last(launch, ignorenulls=True).over(w)).filter("api = 'cudaSetupArgument' and phase = 'intercepted' and arg is not null and l is not null").select("query", F.col("idx").alias("arg_idx"), "arg", F.col("l.idx").alias("launch_idx"))
     spans = pairs(trace).select("query", "alloc_idx", "addr", "bytes").distinct()
     paged = spans.withColumn("page", F.explode(F.sequence(F.floor(F.col("addr") / page), F.floor((F.col("addr") + F.greatest("bytes", F.lit(1)) - 1) / page))))
     a = args.withColumn("page", F.floor(F.col("arg") / page))

@@ -58,35 +58,52 @@ SPECS = {
 KEYS = {"customer": ("customer_ssb", "lo_custkey", "c_custkey"), "supplier": ("supplier_ssb", "lo_suppkey", "s_suppkey"), "part": ("part_ssb", "lo_partkey", "p_partkey"), "date": ("ddate", "lo_orderdate", "d_datekey")}
 
 
-def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The star views as lazy DataFrames; each query reads only the columns it uses."""
-    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders", "customer", "supplier", "part", "nation", "region")}
+class _Tables(dict):
+    """Parquet tables of a folder, opened when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self[name]
+
+
+class Views(dict):
+    """The star views as lazy DataFrames, made when first asked for; each query reads only the columns it uses."""
+
+    NAMES = ("lineorder", "lineorder_cost", "customer_ssb", "supplier_ssb", "part_ssb", "ddate")
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.t = spark, _Tables(spark, sf_dir)
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = _view(self.spark, self.t, self, name)
+        return self[name]
+
+
+def _view(spark: SparkSession, t: _Tables, v: Views, name: str) -> DataFrame:
     cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
-    part = t["part"].withColumn("cents", cents("p_retailprice"))
-    lines = t["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("lo_quantity"), F.round(F.col("l_discount") * 100).cast("int").alias("lo_discount"), F.round(F.col("l_tax") * 100).cast("int").alias("lo_tax"), cents("l_extendedprice").alias("lo_extendedprice"))
-    orders = t["orders"].select("o_orderkey", F.col("o_custkey").alias("lo_custkey"), (F.year("o_orderdate") * 10000 + F.month("o_orderdate") * 100 + F.dayofmonth("o_orderdate")).alias("lo_orderdate"), F.col("o_orderpriority").alias("lo_orderpriority"))
-    fact = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    # the supply cost comes from the part: a query without it never reads the price, as the join is on a key with one row each
-    costs = part.select(F.col("p_partkey").alias("__part"), (60 * F.col("cents")).alias("lo_supplycost"))
-    columns = ["lo_orderkey", "lo_linenumber", "lo_custkey", "lo_partkey", "lo_suppkey", "lo_orderdate", "lo_orderpriority", "lo_quantity", "lo_extendedprice", "lo_discount", "lo_revenue", "lo_tax"]
-    plain = fact.withColumnRenamed("l_orderkey", "lo_orderkey").withColumnRenamed("l_linenumber", "lo_linenumber").withColumnRenamed("l_partkey", "lo_partkey").withColumnRenamed("l_suppkey", "lo_suppkey").withColumn("lo_revenue", F.col("lo_extendedprice") * (100 - F.col("lo_discount"))).select(*columns)
-    places = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-
-    def side(table: DataFrame, p: str, key: str) -> DataFrame:
-        joined = table.join(places, F.col(f"{p}_nationkey") == F.col("n_nationkey"))
+    if name == "lineorder":
+        lines = t["lineitem"].select(F.col("l_orderkey").alias("lo_orderkey"), F.col("l_linenumber").alias("lo_linenumber"), F.col("l_partkey").alias("lo_partkey"), F.col("l_suppkey").alias("lo_suppkey"), F.col("l_quantity").cast("int").alias("lo_quantity"), F.round(F.col("l_discount") * 100).cast("int").alias("lo_discount"), F.round(F.col("l_tax") * 100).cast("int").alias("lo_tax"), cents("l_extendedprice").alias("lo_extendedprice"))
+        orders = t["orders"].select("o_orderkey", F.col("o_custkey").alias("lo_custkey"), (F.year("o_orderdate") * 10000 + F.month("o_orderdate") * 100 + F.dayofmonth("o_orderdate")).alias("lo_orderdate"), F.col("o_orderpriority").alias("lo_orderpriority"))
+        return lines.join(orders, F.col("lo_orderkey") == F.col("o_orderkey")).drop("o_orderkey").withColumn("lo_revenue", F.col("lo_extendedprice") * (100 - F.col("lo_discount")))
+    if name == "lineorder_cost":  # only queries with a supply cost join the parts for it
+        costs = t["part"].select(F.col("p_partkey").alias("__part"), (60 * cents("p_retailprice")).alias("lo_supplycost"))
+        return v["lineorder"].join(costs, F.col("lo_partkey") == F.col("__part")).drop("__part")
+    if name in ("customer_ssb", "supplier_ssb"):
+        p, key = name[0], {"c": "c_custkey", "s": "s_suppkey"}[name[0]]
+        places = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+        joined = t[name.removesuffix("_ssb")].join(places, F.col(f"{p}_nationkey") == F.col("n_nationkey"))
         return joined.select(key, F.col(f"{p}_name"), F.concat("n_name", F.lit("_"), (F.col(key) % 10).cast("string")).alias(f"{p}_city"), F.col("n_name").alias(f"{p}_nation"), F.col("r_name").alias(f"{p}_region"))
-
-    n = F.substring("p_brand", 7, 9).cast("int") - 1
-    mfgr = F.concat(F.lit("MFGR#"), (F.floor(n / 5) + 1).cast("string"))
-    category = F.concat(mfgr, (n % 5 + 1).cast("string"))
-    return {
-        "lineorder": plain,
-        "lineorder_cost": plain.join(costs, F.col("lo_partkey") == F.col("__part")).drop("__part"),
-        "customer_ssb": side(t["customer"], "c", "c_custkey"),
-        "supplier_ssb": side(t["supplier"], "s", "s_suppkey"),
-        "part_ssb": part.select("p_partkey", "p_name", mfgr.alias("p_mfgr"), category.alias("p_category"), F.concat(category, F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("p_brand1"), "p_type", "p_size"),
-        "ddate": dates(spark, *CALENDAR),
-    }
+    if name == "part_ssb":
+        n = F.substring("p_brand", 7, 9).cast("int") - 1
+        mfgr = F.concat(F.lit("MFGR#"), (F.floor(n / 5) + 1).cast("string"))
+        category = F.concat(mfgr, (n % 5 + 1).cast("string"))
+        return t["part"].select("p_partkey", "p_name", mfgr.alias("p_mfgr"), category.alias("p_category"), F.concat(category, F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("p_brand1"), "p_type", "p_size")
+    if name == "ddate":
+        return dates(spark, *CALENDAR)
+    raise KeyError(name)
 
 
 def _needs_cost(spec: Spec) -> bool:
@@ -95,7 +112,7 @@ def _needs_cost(spec: Spec) -> bool:
 
 def frame(spark: SparkSession, sf_dir: str, name: str, prefilter: bool = False) -> DataFrame:
     """A query through the builder. The date condition also reaches the fact table as a range of date keys, so it filters before the joins."""
-    spec, v = SPECS[name], views(spark, sf_dir)
+    spec, v = SPECS[name], Views(spark, sf_dir)
     q = StarQuery(v["lineorder_cost" if _needs_cost(spec) else "lineorder"]).where(F.expr(spec.fact))
     for side in ("supplier", "part", "customer", "date"):
         condition = getattr(spec, side)
@@ -133,9 +150,11 @@ def spark_sql(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The query through the SQL front door."""
     from .dialect import run
 
-    for view, df in views(spark, sf_dir).items():
-        df.createOrReplaceTempView(view)
-    return run(spark, select(SPECS[name]) + ";")
+    v, text = Views(spark, sf_dir), select(SPECS[name])
+    for view in Views.NAMES:
+        if view in text:
+            v[view].createOrReplaceTempView(view)
+    return run(spark, text + ";")
 
 
 #: The star views for the oracle.
