@@ -10,10 +10,11 @@ matches, times the cost to verify them). A pair asks for the smaller l of the tw
 
 1. Equal sets collapse to a class (128-bit digest of the sorted hashes).
 2. Prefix shingles meet in hash buckets. A shingle shared by several classes
-   puts them under the smallest of them, its leader; where, in order of set
-   size, the next set is too large to link with the one before, a new leader
-   begins. (leader, member) rows are distinct, so sixty shared shingles make
-   one row.
+   puts them under the smallest of them, its leader. Sizes fall into classes
+   that sets of linked documents never differ by more than one in, so leaders
+   are chosen within two neighbouring size classes; where, in order of size, the
+   next set is too large to link with the one before, a new leader begins.
+   (leader, member) rows are distinct, so sixty shared shingles make one row.
 3. Members of a leader are split into blocks of ``BLOCK``; pairs of blocks meet
    with their whole sets. There, pairs that share enough prefix shingles are
    verified exactly, and what leaves is a spanning star of what is linked: a
@@ -211,9 +212,12 @@ def lead(blobs: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
     distinct, first, number = np.unique(np.concatenate(names).astype(np.uint64).reshape(-1, 2), axis=0, return_index=True, return_inverse=True)
     n = np.concatenate(sizes)[first]
     token, who = np.concatenate(tokens), number.reshape(-1)[np.concatenate(owner)]
-    sort = np.lexsort((who, n[who], token))
-    token, who = token[sort], who[sort]
-    starts = np.concatenate([[True], token[1:] != token[:-1]])
+    # a class is a hair wider than the ratio, so rounding never puts a linked pair two classes apart
+    level = np.floor(np.log(np.maximum(n, 1)) / (np.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9)).astype(np.int64)[who]
+    token, who, level = np.concatenate([token, token]), np.concatenate([who, who]), np.concatenate([level, level + 1])
+    sort = np.lexsort((who, n[who], level, token))
+    token, who, level = token[sort], who[sort], level[sort]
+    starts = np.concatenate([[True], (token[1:] != token[:-1]) | (level[1:] != level[:-1])])
     fresh = starts | np.concatenate([[True], who[1:] != who[:-1]])
     token, who, starts = token[fresh], who[fresh], starts[fresh]
     size = n[who]
