@@ -27,7 +27,7 @@ from . import charlm
 from .common import chunked, crc_mod, map_texts, slices, summed_vector
 
 #: Labelled rows of each class that the classifier is fitted on, at most; chosen by a hash of the id.
-SAMPLE_ROWS = 2500
+SAMPLE_ROWS = 1500
 #: Features that the fit sees: those with the largest difference between the classes.
 MAX_FEATURES = 4_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
