@@ -11,6 +11,8 @@ from ..operators import trace as T
 from . import workload as W
 
 BLOCK = 1000
+#: Customers that make up a workload.
+MIX = 100
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,13 +145,13 @@ def trace_regions(s, d):
 # --- workloads: the customers' orders stand for recorded runs
 
 
-def _runs(s, d):
-    o = _t(s, d, "orders").filter("o_orderkey < 1200")
+def _runs(s, d, orders="o_orderkey < 1200"):
+    o = _t(s, d, "orders").filter(orders)
     return o.select(F.concat(F.lit("c"), (F.col("o_orderkey") % 12).cast("string")).alias("combo"), F.concat(F.lit("q"), (F.col("o_orderkey") % 12 % 4).cast("string"), F.lit("#0")).alias("query"), (F.floor(F.col("o_orderkey") / 12) % 9 + 1).cast("int").alias("run_no"), F.col("o_totalprice").alias("total_ms"), F.when((F.col("o_orderkey") % 12 == 5) & (F.col("o_orderstatus") == "P"), "boom").otherwise("").alias("error"))
 
 
-def _solo(s, d):
-    return W.solo_stats(_runs(s, d).withColumn("query", F.substring_index("query", "#", 1)))
+def _solo(s, d, orders="o_orderkey < 1200"):
+    return W.solo_stats(_runs(s, d, orders).withColumn("query", F.substring_index("query", "#", 1)))
 
 
 def corun_solo_avg(s, d):
@@ -164,8 +166,8 @@ def corun_speedup(s, d):
     return W.weighted_speedup(_runs(s, d), _solo(s, d)).select("combo", F.round("speedup", 9).alias("speedup"))
 
 
-def corun_crashes(s, d):
-    o = _t(s, d, "orders").filter("o_orderkey < 1200")
+def corun_crashes(s, d, orders="o_orderkey < 1200"):
+    o = _t(s, d, "orders").filter(orders)
     lines = o.select(F.concat(F.lit("c"), (F.col("o_orderkey") % 12).cast("string")).alias("combo"), F.when(F.col("o_orderkey") % 2 == 0, "error").otherwise("trace").alias("stream"), F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("evicting region "), F.col("o_orderstatus"))).otherwise("").alias("line"))
     return W.crash_report(lines)
 
@@ -185,6 +187,31 @@ def corun_admission(s, d):
     return W.greedy_batches(mix)
 
 
+# The same over every order and every customer.
+
+
+def corun_solo_avg_whole(s, d):
+    return _solo(s, d, "true").select("query", F.round("solo_ms", 6).alias("solo_ms"))
+
+
+def corun_stats_whole(s, d):
+    return W.corun_stats(_runs(s, d, "true")).select("combo", "query", F.round("corun_ms", 6).alias("corun_ms"))
+
+
+def corun_speedup_whole(s, d):
+    return W.weighted_speedup(_runs(s, d, "true"), _solo(s, d, "true")).select("combo", F.round("speedup", 9).alias("speedup"))
+
+
+def corun_crashes_whole(s, d):
+    return corun_crashes(s, d, "true")
+
+
+def corun_admission_whole(s, d):
+    key = F.col("c_custkey")
+    mix = _t(s, d, "customer").select(F.floor(key / MIX).cast("long").alias("workload"), key.cast("long").alias("seq"), F.concat(F.lit("q"), (key % 13).cast("string")).alias("query"), (key % 7 * 100_000_000 + 100_000_000).cast("long").alias("bytes"))
+    return W.greedy_batches(mix, workload="workload")
+
+
 TRACE = """
 ev as (select event_id, event_type, epoch_us(ts) as us, user_id, 'q' || (user_id % 7) as query, (event_id % 40 + 1) * 1048576 as a, cast(round(value * 100) as bigint) as b from events),
 tr as (
@@ -226,6 +253,11 @@ runs as (select 'c' || (o_orderkey % 12) as combo, 'q' || (o_orderkey % 12 % 4)
                 case when o_orderkey % 12 = 5 and o_orderstatus = 'P' then 'boom' else '' end as error from orders where o_orderkey < 1200),
 solo as (select split_part(query, '#', 1) as query, avg(total_ms) as solo_ms from runs where run_no > 1 group by all)
 """
+_WHOLE_RUNS = """
+runs as (select 'c' || (o_orderkey % 12) as combo, 'q' || (o_orderkey % 12 % 4) || '#0' as query, cast(o_orderkey // 12 % 9 + 1 as integer) as run_no, o_totalprice as total_ms,
+                case when o_orderkey % 12 = 5 and o_orderstatus = 'P' then 'boom' else '' end as error from orders),
+solo as (select split_part(query, '#', 1) as query, avg(total_ms) as solo_ms from runs where run_no > 1 group by all)
+"""
 _RLE = f"""
 typed as (select event_id, event_id // {BLOCK} as block, cast(floor(value / 40) as integer) as v from events),
 marked as (select *, case when lag(v) over w is distinct from v or row_number() over w = 1 then 1 else 0 end as s from typed window w as (partition by block order by event_id)),
@@ -271,6 +303,16 @@ ORACLES = {
                union all select m.k, m.seq, m.query, m.bytes, case when g.total + m.bytes > 1600000000 then m.bytes else g.total + m.bytes end, case when g.total + m.bytes > 1600000000 then g.batch + 1 else g.batch end
                from go g join mix m on m.k = g.k + 1)
         select seq, query, bytes, cast(batch as integer) as batch from go""",
+    "corun_solo_avg_whole": f"with {_WHOLE_RUNS} select query, round(solo_ms, 6) as solo_ms from solo",
+    "corun_stats_whole": f"with {_WHOLE_RUNS} select combo, query, round(avg(total_ms), 6) as corun_ms from runs where run_no between 2 and 6 group by all",
+    "corun_speedup_whole": f"with {_WHOLE_RUNS}, st as (select combo, query, avg(total_ms) as ms from runs where run_no between 2 and 4 and combo not in (select combo from runs where error <> '') group by all) select combo, round(sum(solo_ms / ms), 9) as speedup from st join solo on split_part(st.query, '#', 1) = solo.query group by combo",
+    "corun_crashes_whole": "with l as (select 'c' || (o_orderkey % 12) as combo, o_orderkey % 2 = 0 as err, case when o_orderkey % 7 = 0 then 'evicting region ' || o_orderstatus else '' end as line from orders) select combo, bool_or(err and line <> '') as crashed, bool_or(not err and contains(line, 'evicting region')) as evicted from l group by combo",
+    "corun_admission_whole": f"""
+        with recursive mix as (select c_custkey // {MIX} as workload, c_custkey as seq, 'q' || (c_custkey % 13) as query, c_custkey % 7 * 100000000 + 100000000 as bytes, row_number() over (partition by c_custkey // {MIX} order by c_custkey) as k from customer),
+        go as (select k, workload, seq, query, bytes, bytes as total, 0 as batch from mix where k = 1
+               union all select m.k, m.workload, m.seq, m.query, m.bytes, case when g.total + m.bytes > 1600000000 then m.bytes else g.total + m.bytes end, case when g.total + m.bytes > 1600000000 then g.batch + 1 else g.batch end
+               from go g join mix m on m.workload = g.workload and m.k = g.k + 1)
+        select workload, seq, query, bytes, cast(batch as integer) as batch from go""",
 }
 
 

@@ -149,12 +149,15 @@ def crash_report(lines: DataFrame) -> DataFrame:
     return lines.groupBy("combo").agg(F.max((F.col("stream") == "error") & (F.trim("line") != "")).alias("crashed"), F.max((F.col("stream") != "error") & F.col("line").contains("evicting region")).alias("evicted"))
 
 
-def greedy_batches(mix: DataFrame, permitted: int = PERMITTED_BYTES) -> DataFrame:
+def greedy_batches(mix: DataFrame, permitted: int = PERMITTED_BYTES, workload: str | None = None) -> DataFrame:
     """``seq, query, bytes, batch`` of ``seq, query, bytes``: queries in order; one that does not fit opens a batch.
 
     A batch's content depends on all before it, so a workload is folded in one
-    group: for mixes that an operator plans (hundreds of queries), not for data.
+    group of hundreds of queries that an operator plans. With ``workload``, the
+    name of a long column, each of its values is a workload of its own, which
+    the result names too: for whole tables.
     """
+    kept = [workload] if workload else []
 
     def fold(pdf):
         pdf = pdf.sort_values("seq")
@@ -164,9 +167,10 @@ def greedy_batches(mix: DataFrame, permitted: int = PERMITTED_BYTES) -> DataFram
                 total, batch = 0, batch + 1
             total += b
             out.append(batch)
-        return pdf.assign(batch=out)[["seq", "query", "bytes", "batch"]]
+        return pdf.assign(batch=out)[[*kept, "seq", "query", "bytes", "batch"]]
 
-    return mix.groupBy(F.lit(0).alias("workload")).applyInPandas(fold, "seq long, query string, bytes long, batch int")
+    key = F.col(workload) if workload else F.lit(0).alias("workload")
+    return mix.groupBy(key).applyInPandas(fold, "".join(f"{c} long, " for c in kept) + "seq long, query string, bytes long, batch int")
 
 
 def save_context(runs: DataFrame, path: str) -> None:
