@@ -153,6 +153,32 @@ PAIRS |= {
     "trailing_semicolon": ("select r_name from region;", "select r_name from region"),
 }
 
+# --- operators over whole tables, where the texts above stop at a key
+_DAYS = "cast(sum(d) as bigint) as days, min(d) as lo, max(d) as hi"
+
+SHARED |= {
+    "project_alias_whole": "select c_custkey as k, c_mktsegment as segment from customer",
+    "expr_arith_whole": f"select l_linenumber, cast(sum(x) as bigint) as x, min(x) as x_lo, max(x) as x_hi, cast(sum(y) as bigint) as y, min(y) as y_lo, max(y) as y_hi, {N} from (select l_linenumber, {CENTS} + 2 * l_linenumber - l_suppkey as x, ({CENTS} - l_partkey) * (l_linenumber + 1) as y from lineitem) e group by l_linenumber",
+    "expr_assoc_whole": "select p_partkey, p_size - 5 + 3 - 1 as a, p_size * 6 / 4 as b from part",
+    "expr_neg_whole": "select p_partkey, -p_size as neg, +p_size as pos, p_size * -2 as twice from part",
+    "expr_cast_whole": f"select cast(l_quantity as integer) as q, cast(l_linenumber as varchar(10)) as t, {N} from lineitem group by cast(l_quantity as integer), cast(l_linenumber as varchar(10))",
+    "join_left_whole": "select c_custkey, count(o_orderkey) as n from customer left outer join orders on c_custkey = o_custkey group by c_custkey",
+    "join_right_whole": "select p_partkey, n_name from nation right outer join part on n_nationkey = p_size - 1",
+    "join_theta_whole": "select r.r_name, n.n_name from region r join nation n on n.n_regionkey > r.r_regionkey",
+    # every pair is counted; the build side repeats a key once a brand, with its rows as a number, so that the join stays linear
+    "join_duplicate_keys_whole": "select cast(sum(b.c) as bigint) as n from (select p_size as k from part) a join (select p_size as k, p_brand, count(*) as c from part group by p_size, p_brand) b on a.k = b.k",
+}
+
+PAIRS |= {
+    "expr_pow_whole": ("select p_partkey, p_size ** 2 + 1 as x from part", "select p_partkey, power(p_size, 2) + 1 as x from part"),
+    "expr_div_int_whole": ("select p_partkey, p_size div 7 as q, p_size % 7 as r from part", "select p_partkey, cast(p_size // 7 as bigint) as q, p_size % 7 as r from part"),
+    "expr_cast_dialect_whole": ("select p_partkey, cast(p_retailprice as number(10, 2)) as d, cast(p_size as binary_double) as f, cast(p_brand as varchar2(20)) as t from part", "select p_partkey, cast(p_retailprice as decimal(10, 2)) as d, cast(p_size as double) as f, p_brand as t from part"),
+    "expr_interval_whole": (
+        f"select o_orderstatus, {_DAYS} from (select o_orderstatus, cast(extract(day from (o_orderdate - timestamp '1995-01-01 00:00:00') day to second) as bigint) as d from orders) x group by o_orderstatus",
+        f"select o_orderstatus, {_DAYS} from (select o_orderstatus, cast(date_diff('day', timestamp '1995-01-01 00:00:00', o_orderdate) as bigint) as d from orders) x group by o_orderstatus",
+    ),
+}
+
 
 def queries() -> dict:
     out = {n: (lambda s, d, t=t: sql(s, d, t)) for n, t in SHARED.items()}

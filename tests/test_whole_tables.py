@@ -36,3 +36,33 @@ def test_every_customer_is_admitted_in_a_bounded_workload(run):
         of.setdefault(r["workload"], []).append(r)
         total[r["workload"], r["batch"]] = total.get((r["workload"], r["batch"]), 0) + r["bytes"]
     assert max(map(len, of.values())) <= 100 and max(total.values()) <= 1_600_000_000
+
+
+@pytest.mark.parametrize("name,rows", [
+    ("project_alias", "select count(*) from {customer}"),
+    ("expr_assoc", "select count(*) from {part}"),
+    ("expr_neg", "select count(*) from {part}"),
+    ("expr_pow", "select count(*) from {part}"),
+    ("expr_div_int", "select count(*) from {part}"),
+    ("expr_cast_dialect", "select count(*) from {part}"),
+    ("join_left", "select count(*) from {customer}"),
+    ("join_right", "select count(*) from {part}"),
+    ("join_theta", "select count(*) from {nation} n, {region} r where n_regionkey > r_regionkey"),
+    ("expr_interval", "select count(distinct o_orderstatus) from {orders}"),
+])
+def test_operator_reaches_every_row(run, name, rows):
+    of = {t: table(t) for t in ("customer", "part", "nation", "region", "orders")}
+    assert run(f"{name}_whole").count() == duckdb.sql(rows.format(**of)).fetchall()[0][0]
+
+
+def test_aggregated_operators_count_every_row(run):
+    n = duckdb.sql(f"select count(*) from {table('lineitem')}").fetchall()[0][0]
+    for name in ("expr_arith_whole", "expr_cast_whole"):
+        assert sum(r["n"] for r in run(name).collect()) == n
+    days = duckdb.sql(f"select cast(sum(date_diff('day', timestamp '1995-01-01', o_orderdate)) as bigint) from {table('orders')}").fetchall()[0][0]
+    assert sum(r["days"] for r in run("expr_interval_whole").collect()) == days
+
+
+def test_duplicate_keys_count_every_pair(run):
+    want = duckdb.sql(f"select count(*) from {table('part')} a join {table('part')} b on a.p_size = b.p_size").fetchall()[0][0]
+    assert run("join_duplicate_keys_whole").first()["n"] == want
