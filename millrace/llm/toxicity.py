@@ -4,8 +4,12 @@ Restoring: each suspicious token becomes a lattice. A letter run can be meant
 once, twice or as it stands; a digit or symbol can stand for letters; separators
 inside a word can be dropped; single characters in a row ("s p e l l e d") join
 with an optional word break at each gap. Viterbi under a character trigram model
-of the corpus, with fixed channel costs, finds the restored text. Tokens of
-plain letters without a repeated letter have one path and are kept as they are.
+of the corpus, with fixed channel costs, finds the restored text. A token or a row
+is one lattice whatever its length. Tokens of plain letters without a repeated
+letter have one path and are kept as they are. When texts are scored, neighbouring
+tokens that make up a known word together ("st upid", "a s s") are a lattice too, in
+which each space costs little to keep and more to drop, and tokens of digits and
+symbols count if they read as a known word.
 
 Scoring: the restored words and their prefixes are features of a logistic model
 with non-negative weights and an L1 penalty (so a word that merely sits in the
@@ -46,7 +50,8 @@ LEET = {
     "*": "aeiou", "#": "aeiou",
 }
 SEPARATORS = frozenset(".-_~^'`,/\\·•​‌‍﻿­")
-# Channel costs, natural logs.
+# Channel costs, natural logs. A gap is a dropped space between single characters, JOINED one between longer pieces.
+JOINED, APART = math.log(0.2), math.log(0.8)
 REPLACED, WILD, DROPPED, GAP, BREAK = math.log(0.2), math.log(0.05), math.log(0.3), math.log(0.7), math.log(0.005)
 ONCE_OF_TWO, TWICE_OF_TWO, ONCE_OF_MORE, TWICE_OF_MORE, KEPT_OF_MORE = math.log(0.02), math.log(0.98), math.log(0.6), math.log(0.38), math.log(0.02)
 
@@ -65,8 +70,8 @@ class Restorer:
         self.classes = charlm.class_table()
         self.code: dict[str, int] = {}
 
-    def edges(self, token: str) -> list[list[tuple[str, float]]]:
-        """The lattice: for each run of equal characters its possible restorations with their costs; a space is a word break."""
+    def edges(self, token: str, space: tuple[float, float] = (GAP, BREAK)) -> list[list[tuple[str, float]]]:
+        """The lattice: for each run of equal characters its possible restorations with their costs; a space is a word break. ``space``: costs to drop and to keep one."""
         out = []
         for m in RUNS.finditer(token):
             c, n = m[1], len(m[0])
@@ -78,7 +83,7 @@ class Restorer:
                 else:
                     out.append([(c, ONCE_OF_MORE), (c + c, TWICE_OF_MORE), (m[0][:8], KEPT_OF_MORE)])
             elif c == " ":
-                out.append([("", GAP), (" ", BREAK)])
+                out.append([("", space[0]), (" ", space[1])])
             elif c in LEET:
                 cost = WILD if len(LEET[c]) > 2 else REPLACED
                 out.append([(x, cost) for x in LEET[c]] + ([(x + x, cost + DROPPED) for x in LEET[c]] if n > 1 else []) + [(" ", BREAK)])
@@ -88,15 +93,16 @@ class Restorer:
                 out.append([(" ", BREAK)])
         return out
 
-    def decode(self, token: str) -> str:
-        """The most probable restored text of a lower-cased token; words are separated by spaces."""
+    def decode(self, token: str, space: tuple[float, float] = (GAP, BREAK)) -> str:
+        """The most probable restored text of a lower-cased token of any length; words are separated by spaces."""
         lm, code = self.lm, self.code
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in self.edges(token) + [[(" ", 0.0)]]:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a0, b0), (score0, text0) in states.items():
+        # A state holds its score and the way back: what was emitted last, after the way before.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for options in self.edges(token, space) + [[(" ", 0.0)]]:
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a0, b0), (score0, way) in states.items():
                 for emitted, cost in options:
-                    a, b, score, text = a0, b0, score0 + cost, text0
+                    a, b, score, text = a0, b0, score0 + cost, ""
                     for ch in emitted:
                         c = code.get(ch)
                         if c is None:
@@ -107,9 +113,13 @@ class Restorer:
                         a, b = (b, c) if b and c else (0, c)
                     had = new.get((a, b))
                     if had is None or score > had[0]:
-                        new[a, b] = (score, text)
+                        new[a, b] = (score, (way, text) if text else way)
             states = new
-        return max(states.values())[1].strip()
+        way, out = max(states.values(), key=lambda x: x[0])[1], []
+        while way is not None:
+            way, text = way
+            out.append(text)
+        return "".join(reversed(out)).strip()
 
     def restore_token(self, token: str) -> str:
         """The restored words of a white-space token, lower case; empty if it holds none."""
@@ -123,17 +133,26 @@ class Restorer:
             return ""
         if t.endswith("!"):
             t = t.rstrip("!")
-        if len(t) > 60:
-            return " ".join(self.decode(t[i : i + 60]) for i in range(0, len(t), 60))
         return self.decode(t)
 
+    def symbols(self, token: str) -> str:
+        """What a token without letters reads as, if all its characters are taken for letters."""
+        t = token.lower().strip(STRIP)
+        if any(c.isalpha() or c in "@$" for c in t) or sum(c in LEET for c in t) < 3:
+            return ""
+        return self.decode(t)
+
+    def together(self, tokens: list[str]) -> list[str]:
+        """The words of neighbouring tokens, between which spaces may be dropped."""
+        return self.decode(" ".join(tokens).lower().strip(STRIP).rstrip("!"), (JOINED, APART)).split()
+
     def spelled(self, text: str) -> list[str]:
         """Words restored from rows of single characters."""
         out = []
         for m in SPELLED.finditer(text):
             chars = " ".join(m[0].lower().split())
             if sum(c.isalpha() for c in chars) >= 2:
-                out += [w for at in range(0, len(chars), 60) for w in self.decode(chars[at : at + 60]).split()]
+                out += self.decode(chars).split()
         return out
 
 
@@ -234,7 +253,7 @@ class Model:
         """text -> score; holds the task's table of restored words."""
         restorer, weights, bias = Restorer(self.table), self.weights, self.bias
         counted = {f.partition("#")[0] for f in weights}
-        table: dict[str, tuple[str, ...]] = {}
+        table: dict[str, tuple[tuple[str, ...], str]] = {}
 
         # A restored word keeps its letters but for repeats, so without repeats it starts as a feature does, or it has none:
         # plain letters that start otherwise need no decoding.
@@ -248,23 +267,64 @@ class Model:
             t = SAME.sub(r"\1", t)
             return not any(t[:n] in single for n in lengths)
 
-        def active(token: str) -> tuple[str, ...]:
-            found = () if hopeless(token) else tuple(w for w in restorer.restore_token(token).split() if any(f in counted for f in features(w)))
+        # Known words without repeats, and what they begin with: what pieces of a word must make up together.
+        whole = {SAME.sub(r"\1", f[:-1]) for f in counted if f.endswith("$") and len(f) > 3}
+        starts = {w[:n] for w in whole for n in range(1, len(w))}
+        longest = 2 * max(map(len, whole), default=0)
+        inner = starts | {w[m:n] for w in whole for m in range(1, len(w)) for n in range(m + 1, len(w) + 1)}
+
+        def active(token: str) -> tuple[tuple[str, ...], str]:
+            """A token's words with known features, and its letters without repeats if they may be a piece of a known word."""
+            if hopeless(token):
+                found, text = (), token.lower().strip(STRIP)
+            else:
+                text = restorer.restore_token(token)
+                found = tuple(w for w in text.split() if any(f in counted for f in features(w)))
+                if not text:
+                    found = tuple(w for w in restorer.symbols(token).split() if w + "$" in counted)
+            piece = SAME.sub(r"\1", text) if text.isalpha() else ""
+            out = found, piece if piece in inner or piece in whole else ""
             if len(table) > TABLE_ENTRIES:
                 table.clear()
             if len(token) <= 60:
-                table[token] = found
-            return found
+                table[token] = out
+            return out
+
+        def joined(tokens: list[str], piece_of: dict[str, str]) -> set[str]:
+            """Known words that neighbouring tokens make up, pieces of together ``longest`` letters at most."""
+            words: set[str] = set()
+            for i, token in enumerate(tokens):
+                made = piece_of.get(token, "")
+                if made not in starts:
+                    continue
+                size = len(made)
+                for j in range(i + 1, len(tokens)):
+                    piece = piece_of.get(tokens[j])
+                    if not piece:
+                        break
+                    size += len(piece)
+                    made = SAME.sub(r"\1", made + piece)
+                    if size > longest or made not in starts and made not in whole:
+                        break
+                    if made in whole:
+                        words.update(w for w in restorer.together(tokens[i : j + 1]) if w + "$" in counted)
+            return words
 
         def score(text: str | None) -> float:
             words: set[str] = set()
             if text:
-                for token in set(text.split()):
-                    found = table.get(token)
-                    if found is None:
-                        found = active(token)
-                    if found:
-                        words.update(found)
+                tokens = text.split()
+                piece_of: dict[str, str] = {}
+                for token in set(tokens):
+                    had = table.get(token)
+                    if had is None:
+                        had = active(token)
+                    if had[0]:
+                        words.update(had[0])
+                    if had[1]:
+                        piece_of[token] = had[1]
+                if not starts.isdisjoint(piece_of.values()):
+                    words.update(joined(tokens, piece_of))
                 words.update(restorer.spelled(text))
             on = with_counts((tuple(f for f in features(w) if f in counted) for w in words), weights) if words else ()
             margin = bias + sum(weights[f] for f in sorted(on) if f in weights)
