@@ -13,10 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.star import StarQuery
-from ..sources.ssbgen import dates
-
-#: The calendar that the date dimension covers: 20 years, a bound on its rows whatever the facts.
-CALENDAR = ("1990-01-01", 7305)
+from ..sources.ssbgen import calendar
 
 
 @dataclass(frozen=True)
@@ -102,7 +99,9 @@ def _view(spark: SparkSession, t: _Tables, v: Views, name: str) -> DataFrame:
         category = F.concat(mfgr, (n % 5 + 1).cast("string"))
         return t["part"].select("p_partkey", "p_name", mfgr.alias("p_mfgr"), category.alias("p_category"), F.concat(category, F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("p_brand1"), "p_type", "p_size")
     if name == "ddate":
-        return dates(spark, *CALENDAR)
+        day = F.col("o_orderdate").cast("date")  # one row a day from the first order to the last
+        span = t["orders"].agg(F.min(day).alias("first"), F.max(day).alias("last"))
+        return calendar(span.select(F.explode(F.sequence("first", "last")).alias("day")))
     raise KeyError(name)
 
 

@@ -29,7 +29,12 @@ def _of(values: list[str], index):
 def dates(spark: SparkSession, start: str = "1992-01-01", days: int = 2557) -> DataFrame:
     """The date dimension of a calendar range: one row a day."""
     d = F.date_add(F.lit(start).cast("date"), F.col("id").cast("int"))
-    return spark.range(days).select(d.alias("day")).select(
+    return calendar(spark.range(days).select(d.alias("day")))
+
+
+def calendar(days: DataFrame) -> DataFrame:
+    """The date dimension of the dates in the column ``day``."""
+    return days.select(
         F.date_format("day", "yyyyMMdd").cast("int").alias("d_datekey"),
         F.date_format("day", "MMMM d, yyyy").alias("d_date"),
         F.date_format("day", "EEEE").alias("d_dayofweek"),
