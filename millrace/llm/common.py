@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -24,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     ``spark.checkpoint.dir`` of the session if set; else the context's own
-    checkpoint folder; else (single-machine tests) a temporary folder.
+    checkpoint folder; else, on a single machine only, a temporary folder.
     """
     sc = spark.sparkContext
     asked = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(asked)
         return asked.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -90,32 +93,48 @@ def map_texts(df: DataFrame, start: Callable[[], Callable[[list], list[pa.Array
     return df.mapInArrow(run, out)
 
 
-def summed_vector(parts: DataFrame, key: str, length: int, dtype: str, combine=np.add) -> dict[int, np.ndarray]:
+#: Numbers of a vector that travel in one row.
+CHUNK = 1 << 14
+#: Rows of a chunk that a task adds up at the first level: those of so many neighbouring map tasks.
+NEIGHBOURS = 512
+
+
+def summed_vector(parts: DataFrame, key: str, length: int, dtype: str, combine=np.add, finish: Callable[[np.ndarray], np.ndarray] | None = None, finished: str | None = None) -> dict[int, np.ndarray]:
     """Adds up equally long vectors, one total per key, by chunks so that no task holds them all.
 
     ``parts`` has (key int, chunk int, data binary) as ``chunked`` makes them.
-    The result is ``length`` numbers a key: bounded by the caller's fixed length
-    and number of keys, whatever the corpus.
+    Chunks are added in two levels, first those of ``NEIGHBOURS`` map tasks, so
+    a group stays bounded however many tasks there are. ``finish`` maps each
+    total on the executors, to numbers of the type ``finished``. The result is ``length`` numbers a key: bounded by
+    the caller's fixed length and number of keys, whatever the corpus.
     """
+    schema = "key int, chunk int, data binary"
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(unpacked(pdf["data"].iloc[0]), dtype=dtype).copy()
+    def total(pdf: pd.DataFrame) -> np.ndarray:
+        out = unpacked_numbers(pdf["data"].iloc[0]).astype(dtype)
         for b in pdf["data"].iloc[1:]:
-            combine(total, np.frombuffer(unpacked(b), dtype=dtype), out=total)
-        return pd.DataFrame({"key": pdf["key"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "data": [packed(total.tobytes())]})
+            combine(out, unpacked_numbers(b).astype(dtype), out=out)
+        return out
+
+    def row(pdf: pd.DataFrame, numbers: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "data": [packed_numbers(numbers)]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return row(pdf, total(pdf))
+
+    def end(pdf: pd.DataFrame) -> pd.DataFrame:
+        return row(pdf, finish(total(pdf)) if finish else total(pdf))
 
+    near = parts.withColumn("near", (F.spark_partition_id() / NEIGHBOURS).cast("int")).groupBy("key", "chunk", "near").applyInPandas(add, schema)
     out: dict[int, np.ndarray] = {}
-    for r in parts.groupBy("key", "chunk").applyInPandas(add, "key int, chunk int, data binary").collect():
-        whole = out.setdefault(r["key"], np.zeros(length, dtype=dtype))
-        piece = np.frombuffer(unpacked(r["data"]), dtype=dtype)
+    for r in near.groupBy("key", "chunk").applyInPandas(end, schema).collect():
+        piece = unpacked_numbers(r["data"])
+        whole = out.setdefault(r["key"], np.zeros(length, dtype=finished or dtype))
         at = r["chunk"] * CHUNK
         whole[at : at + len(piece)] = piece
     return out
 
 
-CHUNK = 1 << 15
-
-
 def packed(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
@@ -124,9 +143,21 @@ def unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def packed_numbers(numbers: np.ndarray) -> bytes:
+    """Non-negative integers in the narrowest type that holds them, compressed; floats as they are."""
+    if numbers.dtype.kind in "iu":
+        most = int(numbers.max(initial=0))
+        numbers = numbers.astype(next((t for t in ("u1", "u2", "u4") if most < 1 << 8 * int(t[1])), "i8"))
+    return numbers.dtype.str[1:].encode() + packed(numbers.tobytes())
+
+
+def unpacked_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(unpacked(data[2:]), data[:2].decode())
+
+
 def chunked(key: int, vector: np.ndarray) -> pd.DataFrame:
     """Rows for ``summed_vector``; chunks that hold only zeros are left out."""
-    rows = [(key, i // CHUNK, packed(vector[i : i + CHUNK].tobytes())) for i in range(0, len(vector), CHUNK) if vector[i : i + CHUNK].any()]
+    rows = [(key, i // CHUNK, packed_numbers(vector[i : i + CHUNK])) for i in range(0, len(vector), CHUNK) if vector[i : i + CHUNK].any()]
     return pd.DataFrame(rows, columns=["key", "chunk", "data"]).astype({"key": "int32", "chunk": "int32"})
 
 

@@ -13,15 +13,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps in turn (each a group-by with a join back)
     until the edges form stars; the number of rounds grows with the logarithm of
-    the nodes. Each round is cut off from the last in the shared folder. Self
-    loops and repeated edges are allowed.
+    the nodes. Each round is cut off from the last in the shared folder. Minima
+    are combined before they shuffle and are tables of their own, so that
+    adaptive execution can split the join back at a node with many edges. Self
+    loops and repeated edges are allowed; without edges the result is empty.
     """
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").filter("u <> v").distinct()
         new = cut(small)
         if not new.exceptAll(e).head(1) and not e.exceptAll(new).head(1):
