@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import charlm
-from .common import chunked, crc_mod, map_texts, slices, summed_vector
+from .common import chunked, crc_mod, keep_texts, map_texts, slices, staged, summed_vector
 
 #: Labelled rows of each class that the classifier is fitted on, at most; chosen by a hash of the id.
-SAMPLE_ROWS = 1500
-#: Features that the fit sees: those with the largest difference between the classes.
-MAX_FEATURES = 4_000
+SAMPLE_ROWS = 2500
+#: Part of the toxic rows of the sample that a feature occurs in at least, and rows at least.
+RARE, RARE_ROWS = 0.002, 3
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: A prefix that so many different words of a text share is a further feature.
 SHARED_BY = (2, 3)
@@ -81,7 +81,7 @@ class Restorer:
                 elif n == 2:
                     out.append([(c + c, TWICE_OF_TWO), (c, ONCE_OF_TWO)])
                 else:
-                    out.append([(c, ONCE_OF_MORE), (c + c, TWICE_OF_MORE), (m[0][:8], KEPT_OF_MORE)])
+                    out.append([(c, ONCE_OF_MORE), (c + c, TWICE_OF_MORE), (m[0], KEPT_OF_MORE)])
             elif c == " ":
                 out.append([("", space[0]), (" ", space[1])])
             elif c in LEET:
@@ -191,42 +191,25 @@ def solve(row: np.ndarray, col: np.ndarray, n_cols: int, labels: np.ndarray, wei
     return w, b
 
 
-def of_words(words: list[str]) -> set[str]:
+def of_words(words: Iterable[str]) -> set[str]:
     return with_counts(tuple(features(w)) for w in words)
 
 
-def fit_weights(docs: list[list[str]], labels: np.ndarray, rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
+def fit_weights(row: np.ndarray, col: np.ndarray, names: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
     """Non-negative logistic regression on feature presence: (weights, bias), classes weighted equally.
 
-    ``docs`` are lists of different restored words; their features are made one
-    document at a time. The larger penalty chooses the features, the smaller one
-    fits them.
+    Document row[i] has the feature names[col[i]]. The larger penalty chooses
+    the features, the smaller one fits them.
     """
     n_pos, n_neg = int(labels.sum()), int(len(labels) - labels.sum())
     if not n_pos or not n_neg:
         return {}, 0.0 if not len(labels) else (-3.0 if not n_pos else 3.0)
-    pos: dict[str, int] = {}
-    for at in np.flatnonzero(labels == 1):
-        for f in of_words(docs[at]):
-            pos[f] = pos.get(f, 0) + 1
-    pos = {f: c for f, c in pos.items() if c >= max(2, 0.004 * n_pos)}
-    neg = dict.fromkeys(pos, 0)
-    for at in np.flatnonzero(labels == 0):
-        for f in of_words(docs[at]):
-            if f in neg:
-                neg[f] += 1
-    gain = {f: c / n_pos - neg[f] / n_neg for f, c in pos.items()}
-    chosen = sorted((f for f, g in gain.items() if g > 0), key=lambda f: (-gain[f], f))[:MAX_FEATURES]
     weight = np.where(labels == 1, 0.5 / n_pos, 0.5 / n_neg)
-    number = {f: i for i, f in enumerate(chosen)}
-    pairs = [(i, k) for i, d in enumerate(docs) for k in sorted(number[f] for f in of_words(d) if f in number)]
-    row, col = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), ())))
-    w, b = solve(row, col, len(chosen), labels, weight, L1, rounds)
+    w, b = solve(row, col, len(names), labels, weight, L1, rounds)
     left = np.flatnonzero(w > 1e-3)
     on = np.isin(col, left)
     w, b = solve(row[on], np.searchsorted(left, col[on]), len(left), labels, weight, L1_AGAIN, 2 * rounds)
-    chosen = [chosen[i] for i in left]
-    return {f: x for f, x in zip(chosen, w.tolist()) if x > 1e-3}, float(b)
+    return {names[i]: x for i, x in zip(left, w.tolist()) if x > 1e-3}, float(b)
 
 
 def fit_language(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -334,7 +317,10 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Character model of all rows of ``docs``; classifier of at most ``sample_rows`` labelled rows of each class."""
+    """Character model of all rows of ``docs``; classifier of at most ``sample_rows`` labelled rows of each class.
+
+    Of rows that repeat an id the one with the smallest text is fitted on, once.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = fit_language(rows)
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -350,18 +336,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             out = []
             for t in texts:
                 words = {w for token in set((t or "").split()) for w in restorer.restore_token(token).split()}
-                out.append(" ".join(sorted(words | set(restorer.spelled(t or "")))))
+                out.append(sorted(of_words(words | set(restorer.spelled(t or "")))))
             return [out]
 
         return run
 
-    seen: dict[int, str] = {}
-    if chosen:
-        # whole documents in, distinct restored words out: at most 2 * sample_rows rows reach the driver
-        for r in map_texts(rows.filter(F.col("doc_id").isin(list(chosen))), start, "words string").collect():
-            seen[r["doc_id"]] = r["words"]
-    ids = sorted(seen)
-    weights, bias = fit_weights([seen[i].split() for i in ids], np.array([chosen[i] for i in ids], np.int64))
+    # one text an id; features are counted where they are, and only those worth a weight reach the driver, as numbers
+    sample = rows.filter(F.col("doc_id").isin(list(chosen))).groupBy("doc_id").agg(F.min("text").alias("text"))
+    sample = sample.withColumn("y", F.col("doc_id").isin([i for i, y in chosen.items() if y]).cast("int"))
+    marked = staged(map_texts(sample, start, "features array<string>"), "features")
+    labels_of = {r["doc_id"]: r["y"] for r in marked.select("doc_id", "y").collect()}
+    ids = sorted(labels_of)
+    y = np.array([labels_of[i] for i in ids], np.int64)
+    n_pos, n_neg = int(y.sum()), len(y) - int(y.sum())
+    names: list[str] = []
+    if n_pos and n_neg:
+        seen = marked.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+        names = sorted(r["f"] for r in seen.filter((F.col("pos") >= max(RARE_ROWS, RARE * n_pos)) & (F.col("pos") * n_neg > F.col("neg") * n_pos)).select("f").collect())
+    number = {f: i for i, f in enumerate(names)}
+
+    def numbered(batches):
+        for batch in batches:
+            kept = [np.array(sorted(number[f] for f in fs if f in number), np.int32).tobytes() for fs in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary())], names=["doc_id", "kept"])
+
+    of = {r["doc_id"]: np.frombuffer(r["kept"], np.int32) for r in marked.select("doc_id", "features").mapInArrow(numbered, "doc_id long, kept binary").collect()}
+    row = np.repeat(np.arange(len(ids)), [len(of[i]) for i in ids])
+    col = np.concatenate([of[i] for i in ids]) if ids else np.zeros(0, np.int32)
+    weights, bias = fit_weights(row, col, names, y)
     return Model(table, weights, bias)
 
 
@@ -396,14 +398,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` under the threshold, all columns kept."""
-    one = []
+    """The rows of ``docs`` under the threshold, all columns kept.
 
-    def clean(texts):
-        if not one:
-            one.append(model.scorer())
-        import pandas as pd
+    Defined cases: a null or empty text has the score of a text without
+    evidence; null and repeated ids don't matter, each row is judged by its
+    text; an empty table stays empty. Texts are read whole, a few MB at a time.
+    """
 
-        return pd.Series([one[0](t) < threshold for t in texts], dtype=bool)
+    def start():
+        score = model.scorer()
+        return lambda text: score(text) < threshold
 
-    return docs.filter(F.pandas_udf(clean, "boolean")(F.col(text_col).cast("string")))
+    return keep_texts(docs, start, text_col)
