@@ -1,8 +1,9 @@
 """Character trigrams over 64 classes, counted with numpy.
 
-Class 0 is everything that is not a letter, 1 to 26 are a to z, and other
-letters share 27 to 63 by code point. Counts and log probabilities are arrays
-of 64^3 numbers whatever the corpus.
+Class 0 is everything that is not a letter. By default 1 to 26 are a to z, and
+other letters share 27 to 63 by code point; ``learned_table`` gives the most
+frequent letters of a corpus a class each instead. Counts and log probabilities
+are arrays of 64^3 numbers whatever the corpus.
 """
 
 from __future__ import annotations
@@ -26,6 +27,22 @@ def class_table() -> np.ndarray:
     return out
 
 
+#: Letters with a class of their own in a learned alphabet; the rest share the classes above.
+OWN = 47
+CODES = 0x110000
+
+
+def learned_table(counts: np.ndarray) -> np.ndarray:
+    """Code point -> class, where ``counts`` (by code point) has the ``OWN`` most frequent letters, ties to the smaller."""
+    out = class_table().copy()
+    letters = np.flatnonzero(out)
+    out[letters] = OWN + 1 + (letters * 2654435761 >> 7) % (CLASSES - OWN - 1)
+    own = letters[np.lexsort((letters, -counts[letters]))][:OWN]
+    own = own[counts[own] > 0]
+    out[own] = 1 + np.arange(len(own))
+    return out
+
+
 def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the lower-cased texts, two breaks between them, and each text's start."""
     joined = ("\n\n".join(texts) + "\n\n").lower()

@@ -1,11 +1,11 @@
 """Language identification of mixed text.
 
-Letters are counted by language in character trigrams over all training
-documents. A word's script (Unicode ranges) narrows its candidate languages to
-those that write it; its score in a language is the log probability of its
-letters. Viterbi with a switching penalty labels the words of a document, so
-that spans of another language show up; the label with the most letters names
-the document.
+The most frequent letters of the training documents get a class each, and
+classes are counted by language in trigrams over all training documents. A
+word's script (Unicode ranges) narrows its candidate languages to those that
+write it, and it is scored in these only: the log probability of its letters.
+Viterbi with a switching penalty labels the words of a document, so that spans
+of another language show up; the label with the most letters names the document.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from .common import chunked, crc_mod, map_texts, slices, summed_vector
 SWITCH = 12.0
 #: A language writes a script if so much of its letters are in it.
 SCRIPT_SHARE = 0.001
-#: Log penalty of a word in a script that a language doesn't write.
-FOREIGN = 60.0
+#: Languages that are learned: the most frequent ones, so that a column of dirty values has a bound; each is a table of 64^3 numbers.
+MOST_LANGS = 128
+#: The score of a word in a language that is no candidate.
+NEVER = np.float32(-1e9)
 
 # First and last code point of the blocks of each script; other letters are script 0.
 SCRIPTS = [
@@ -58,9 +60,9 @@ def script_table() -> np.ndarray:
 class Words:
     """The words of a list of texts: maximal runs of letters."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], classes: np.ndarray):
         flat, at = charlm.points(texts)
-        self.codes = charlm.class_table()[flat]
+        self.codes = classes[flat]
         letter = self.codes != 0
         edge = np.diff(letter.astype(np.int8), prepend=0)
         self.start = np.flatnonzero(edge == 1)
@@ -113,25 +115,29 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, switch: float = SW
 
 
 class Model:
-    def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray):
-        """counts: (languages, cells); scripts: (languages, scripts) letters."""
-        self.langs = langs
+    def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray, classes: np.ndarray):
+        """counts: (languages, cells); scripts: (languages, scripts) letters; classes: code point -> class."""
+        self.langs, self.classes = langs, classes
         self.tables = [charlm.log_probabilities(c).astype(np.float32) for c in counts]
-        writes = scripts >= np.maximum(1, SCRIPT_SHARE * scripts.sum(axis=1, keepdims=True))
-        writes[:, ~writes.any(axis=0)] = True  # nobody's script: all stay candidates
-        self.penalty = np.where(writes, 0.0, FOREIGN).astype(np.float32)
+        self.writes = scripts >= np.maximum(1, SCRIPT_SHARE * scripts.sum(axis=1, keepdims=True))
+        self.writes[:, ~self.writes.any(axis=0)] = True  # nobody's script: all stay candidates
 
     def word_scores(self, words: Words) -> np.ndarray:
+        """(words, languages): scores in the candidates of each word's script, ``NEVER`` in others."""
         cells = charlm.trigrams(words.codes)
-        ends = np.column_stack([words.start, words.start + words.letters + 1]).ravel()
-        out = np.empty((len(words.start), len(self.langs)), np.float32)
-        for i, table in enumerate(self.tables):
-            out[:, i] = np.add.reduceat(np.append(table[cells], np.float32(0)), ends)[::2] - self.penalty[i][words.script]
+        out = np.full((len(words.start), len(self.langs)), NEVER, np.float32)
+        for script in np.flatnonzero(np.bincount(words.script, minlength=N_SCRIPTS)).tolist():
+            mine = np.flatnonzero(words.script == script)
+            size = words.letters[mine] + 1  # the letters, and the break that ends the word
+            edge = np.concatenate([[0], np.cumsum(size)[:-1]])
+            at = cells[np.repeat(words.start[mine] - edge, size) + np.arange(int(size.sum()))]
+            for i in np.flatnonzero(self.writes[:, script]).tolist():
+                out[mine, i] = np.add.reduceat(self.tables[i][at], edge)
         return out
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(first word, end, language) of each run of words with one label."""
-        words = Words([text])
+        words = Words([text], self.classes)
         if not len(words.start):
             return []
         label = viterbi(self.word_scores(words), words.doc, 1)
@@ -139,7 +145,7 @@ class Model:
         return [(int(a), int(b), self.langs[label[a]]) for a, b in zip(cut, cut[1:])]
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        words = Words(texts)
+        words = Words(texts, self.classes)
         if not self.langs or not len(words.start):
             return ["und"] * len(texts), [0.0] * len(texts)
         label = viterbi(self.word_scores(words), words.doc, len(texts))
@@ -150,17 +156,34 @@ class Model:
         return [self.langs[b] if t else "und" for b, t in zip(best, total)], share.tolist()
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """Counts all rows of ``docs`` that have a language.
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most_langs: int = MOST_LANGS) -> Model:
+    """Counts all rows of ``docs`` that have a language and a text.
 
-    What leaves a task is, for each language it saw, the non-empty chunks of one
-    array of cells: its size depends on the number of languages, not of rows.
+    Learns the ``most_langs`` most frequent languages, ties to the first in
+    sorted order; rows of any others are as if they had none. What leaves a task
+    is the counts of letters, then for each language it saw the non-empty chunks
+    of one array of cells: their size depends on the number of languages, not of
+    rows. An empty table gives a model that finds nothing.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    langs = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect())
     number = {lang: i for i, lang in enumerate(langs)}
+    rows = rows.filter(F.col("lang").isin(langs)) if langs else rows
     length = charlm.CELLS + N_SCRIPTS
 
+    def letters(batches):
+        total = np.zeros(charlm.CODES, np.int64)
+        for batch in slices(batches):
+            flat, _ = charlm.points(batch.column("text").to_pylist())
+            counts = np.bincount(flat)
+            total[: len(counts)] += counts
+        total[charlm.class_table() == 0] = 0
+        yield pa.RecordBatch.from_pandas(chunked(0, total), preserve_index=False)
+
+    schema = "key int, chunk int, data binary"
+    seen = summed_vector(rows.select("text").mapInArrow(letters, schema), "key", charlm.CODES, "int64").get(0, np.zeros(charlm.CODES, np.int64))
+    classes = charlm.learned_table(seen)
+
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in slices(batches):
@@ -169,20 +192,25 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mode
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
                 flat, _ = charlm.points(texts)
-                codes = charlm.class_table()[flat]
+                codes = classes[flat]
                 mine = total.setdefault(number[lang], np.zeros(length, np.int64))
                 mine[: charlm.CELLS] += charlm.counted(codes)
                 mine[charlm.CELLS :] += np.bincount(script_table()[flat[codes != 0]], minlength=N_SCRIPTS)
         for key, vector in total.items():
             yield pa.RecordBatch.from_pandas(chunked(key, vector), preserve_index=False)
 
-    got = summed_vector(rows.mapInArrow(run, "key int, chunk int, data binary"), "key", length, "int64")
+    got = summed_vector(rows.mapInArrow(run, schema), "key", length, "int64")
     counts = np.stack([got.get(i, np.zeros(length, np.int64)) for i in range(len(langs))]) if langs else np.zeros((0, length), np.int64)
-    return Model(langs, counts[:, : charlm.CELLS], counts[:, charlm.CELLS :])
+    return Model(langs, counts[:, : charlm.CELLS], counts[:, charlm.CELLS :], classes)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` (its column ``text_col`` as ``text``, dropped) with ``lang_pred`` and ``score``."""
+    """``docs`` (its column ``text_col`` as ``text``, dropped) with ``lang_pred`` and ``score``.
+
+    Defined cases: null texts and texts without a letter are ``und`` with score
+    0, as is all if the model knows no language; ids don't matter; an empty
+    table gives an empty result.
+    """
 
     def start():
         def run(texts):
