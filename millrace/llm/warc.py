@@ -154,14 +154,15 @@ def parse(content: bytes, at: int = 0) -> dict:
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text`` (payload), ``digest, refers_to``; refers_to is null for responses.
 
-    Payloads are matched by digest and length. The table of repeated payloads is
-    broadcast only while small; only it, with one row per payload, is grouped.
+    Payloads are matched by SHA-256 and length, not by the SHA-1 that the records
+    carry, for which unequal payloads of one digest can be made. The table of
+    repeated payloads is broadcast only while small; only it, with one row per
+    payload, is grouped.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    rows = rows.withColumn("digest", F.sha1("text"))
-    large = F.length("text") >= REVISIT_BYTES
-    repeated = cut(rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1 and keep is not null").select(F.col("digest").alias("d"), "keep"))
-    met = rows.join(broadcast_if_small(repeated, F.lit(64)), (F.col("digest") == F.col("d")) & large, "left")
+    rows = rows.withColumn("digest", F.sha1("text")).withColumn("same", F.when(F.length("text") >= REVISIT_BYTES, F.concat(F.sha2("text", 256), F.lit(":"), F.length("text").cast("string"))))
+    repeated = cut(rows.filter("same is not null").groupBy("same").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1 and keep is not null").select(F.col("same").alias("d"), "keep"))
+    met = rows.join(broadcast_if_small(repeated, F.lit(96)), F.col("same") == F.col("d"), "left")
     return met.select("page_id", "url", "text", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")).alias("refers_to"))
 
 
