@@ -67,20 +67,23 @@ class ChunkTable:
         """(number of ids, ids joined by commas, decoded text)."""
         if not text:
             return 0, "", ""
-        if not self.splits or "\0" in text:
+        if not self.splits:
             ids = self.model.encode(text)
             return len(ids), ",".join(map(str, ids)), self.model.decode(ids)
         chunks = CHUNK.findall(MARK + text.replace(" ", MARK))
-        table = self.table
-        new = [c for c in dict.fromkeys(chunks) if c not in table]
-        if len(new) > self.entries // 2:
-            ids = self.model.encode(text)
-            return len(ids), ",".join(map(str, ids)), self.model.decode(ids)
-        if new:
-            full = len(table) + len(new) > self.entries
-            self.learn(list(dict.fromkeys(chunks)) if full else new)
-        got = [table[c] for c in chunks]
-        return sum(g[0] for g in got), ",".join([g[1] for g in got]), "".join([g[2] for g in got])[1:]
+        n, ids, decoded = 0, [], []
+        step = max(1, self.entries // 2)  # a text with more chunks than the table holds goes through it in portions
+        for at in range(0, len(chunks), step):
+            part = chunks[at : at + step]
+            new = [c for c in dict.fromkeys(part) if c not in self.table]
+            if new:
+                full = len(self.table) + len(new) > self.entries
+                self.learn(list(dict.fromkeys(part)) if full else new)
+            got = [self.table[c] for c in part]
+            n += sum(g[0] for g in got)
+            ids.append(",".join([g[1] for g in got]))
+            decoded.append("".join([g[2] for g in got]))
+        return n, ",".join(ids), "".join(decoded)[1:]
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
