@@ -52,7 +52,7 @@ SKETCH_CHARS = 8
 BLOOM_BITS = 28
 MOST_MATCHES = 8
 #: Documents of a block; members of a leader that one task compares with it.
-BLOCK, STAR = 256, 4096
+BLOCK, STAR = 256, 512
 HOT = 1 << 18
 #: Prefix shingles of a bucket, on average.
 BUCKET_TOKENS = 1_000_000
@@ -153,7 +153,7 @@ def sketch(docs: DataFrame, shingle_words: int, percent: int) -> tuple[Order, in
         held: list[np.ndarray] = []
 
         def add():
-            np.add(total, np.bincount((np.concatenate(held) & np.uint64(size - 1)).astype(np.int64), minlength=size), out=total, casting="unsafe")
+            np.add.at(total, (np.concatenate(held) & np.uint64(size - 1)).astype(np.int64), 1)
             held.clear()
 
         for batch in slices(batches):
@@ -183,7 +183,7 @@ def _rows(bucket: list[int], doc_id=None, n=None, sig=None, key=None, data=None)
 def prefixes(docs: DataFrame, order: Order, shingle_words: int, buckets: int, hot: int) -> DataFrame:
     """Of ``doc_id, text, key`` (a hash of the text), four kinds of rows.
 
-    Bucket -1: a document's id, set size and class. Bucket -2: a hot shingle
+    Bucket -1: a document's id, set size, class and key. Bucket -2: a hot shingle
     (data) and a member. Bucket -3: a class with its size, the key of a text of
     it, and its prefix in order. Others: the prefix shingles of a bucket, packed.
     """
@@ -228,7 +228,7 @@ def prefixes(docs: DataFrame, order: Order, shingle_words: int, buckets: int, ho
                     lengths.append(len(s))
                     keys.append(key)
                     size += len(tokens[-1])
-            yield _rows([-1] * len(n), batch.column("doc_id"), n, sig)
+            yield _rows([-1] * len(n), batch.column("doc_id"), n, sig, batch.column("key"))
             if size > FLUSH_TOKENS:
                 yield from flush()
                 sigs, tokens, lengths, keys, size = {}, [], [], [], 0
@@ -409,7 +409,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFr
 
 
 def classes_and_links(docs: DataFrame, shingle_words: int = 3, percent: int = 90, hot: int = HOT, block: int = BLOCK, star: int = STAR) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, sig) of each row of ``docs`` (doc_id, text); and links (u, v) between classes that span the components."""
+    """(doc_id, key, n, sig) of each row of ``docs`` (doc_id, text; the key is a hash of the text); and links (u, v) between classes that span the components."""
     docs = docs.withColumn("key", F.xxhash64("text"))
     order, total = sketch(docs, shingle_words, percent)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -487,7 +487,7 @@ def classes_and_links(docs: DataFrame, shingle_words: int = 3, percent: int = 90
             yield _links(spanning([(rows[left[a]][1], rows[right[b]][1]) for a, b in zip(*np.nonzero(good))]))
 
     second = dealt(partner.drop("key").join(sets, "sig"), "cluster", "i", "j").select("cluster", "i", "j", "lead", "sig", "label", "data").mapInArrow(verify, "u binary, v binary")
-    return made.filter("bucket = -1").select("doc_id", "n", "sig"), first.unionByName(second)
+    return made.filter("bucket = -1").select("doc_id", "key", "n", "sig"), first.unionByName(second)
 
 
 CANDIDATE = pa.schema([("cluster", pa.binary()), ("part", pa.int32()), ("lead", pa.bool_()), ("sig", pa.binary()), ("key", pa.int64())])
@@ -528,7 +528,7 @@ def bloom_has(array: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.logical_and.reduce([array[p >> 3] >> (p & 7) & 1 > 0 for p in _places(keys, bits)])
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, hot: int = HOT, block: int = BLOCK, star: int = STAR) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``.
 
     ``component_id`` is the smallest id reachable by links of Jaccard similarity
@@ -538,16 +538,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component; null ids never name a component unless all its ids are null; an
     empty table gives an empty result; extra columns are ignored.
     """
+    return _groups(docs, id_col, text_col, shingle_words, percent, hot, block, star).drop("key")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int, hot: int = HOT, block: int = BLOCK, star: int = STAR) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    classes, links = classes_and_links(rows, shingle_words, percent, hot, block)
+    classes, links = classes_and_links(rows, shingle_words, percent, hot, block, star)
     root = cut(components(links).select(F.col("node").alias("sig"), "root"))
-    labelled = staged(classes.filter("n > 0").join(root, "sig", "left").select("doc_id", "n", F.coalesce("root", "sig").alias("label")), "labels")
+    labelled = staged(classes.filter("n > 0").join(root, "sig", "left").select("doc_id", "key", "n", F.coalesce("root", "sig").alias("label")), "labels")
     smallest = staged(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "smallest")  # on its own, so that a join at a hot label can be split
-    out = labelled.join(smallest.hint("merge"), "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(classes.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = labelled.join(smallest.hint("merge"), "label").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id")
+    return out.unionByName(classes.filter("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, all columns kept; ids are taken as unique, rows with a null id stay."""
-    groups = near_groups(docs, id_col, text_col, shingle_words, percent)
-    return without(docs, groups.filter("doc_id <> component_id").select("doc_id"), id_col)
+    """The rows of ``docs`` with the smallest id of their group, all columns kept.
+
+    Defined cases: as in ``near_groups``; rows with a null id stay, and all rows
+    that repeat the smallest id; an id that other texts repeat is judged text by
+    text; texts without words stay.
+    """
+    gone = _groups(docs, id_col, text_col, shingle_words, percent).filter("doc_id <> component_id").select("doc_id", "key")
+    return without(docs, gone, id_col, F.xxhash64(docs[text_col].cast("string")))
