@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -93,6 +93,30 @@ def map_texts(df: DataFrame, start: Callable[[], Callable[[list], list[pa.Array
     return df.mapInArrow(run, out)
 
 
+def keep_texts(df: DataFrame, start: Callable[[], Callable[[str | None], bool]], text_col: str = "text") -> DataFrame:
+    """The rows whose text passes, all columns untouched, a few MB of text at a time. ``start`` runs once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = start()
+        for batch in slices(batches, text_col):
+            yield batch.filter(pa.array([bool(keep(t)) for t in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def replace_texts(df: DataFrame, start: Callable[[], Callable[[str], str]], text_col: str = "text") -> DataFrame:
+    """``df`` with its texts rewritten, a few MB at a time; nulls and all other columns stay. ``start`` runs once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = start()
+        for batch in slices(batches, text_col):
+            at = batch.schema.get_field_index(text_col)
+            new = pa.array([t if t is None else change(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
 #: Numbers of a vector that travel in one row.
 CHUNK = 1 << 14
 #: Rows of a chunk that a task adds up at the first level: those of so many neighbouring map tasks.
@@ -174,11 +198,12 @@ def broadcast_if_small(df: DataFrame, row_bytes) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose id is in ``gone`` (one column); rows with a null id stay.
+def without(docs: DataFrame, gone: DataFrame, id_col: str, mark: Column) -> DataFrame:
+    """``docs`` without the rows whose id and ``mark`` (a hash of the text) are in ``gone`` (two columns); rows with a null id stay.
 
-    ``gone`` is written once; it is broadcast only while its measured size allows,
-    else both sides shuffle by id.
+    The mark tells rows apart that repeat an id with another text. ``gone`` is
+    written once; it is broadcast only while its measured size allows, else both
+    sides shuffle by id.
     """
-    ids = cut(gone.toDF("__gone").filter("__gone is not null").distinct())
-    return docs.join(broadcast_if_small(ids, F.lit(16)), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    ids = cut(gone.toDF("__gone", "__mark").filter("__gone is not null").distinct())
+    return docs.join(broadcast_if_small(ids, F.lit(16) + F.length(F.col("__mark").cast("string"))), (docs[id_col].cast("long") == F.col("__gone")) & mark.eqNullSafe(F.col("__mark")), "left_anti")

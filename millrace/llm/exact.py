@@ -57,9 +57,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns: those that hold the largest id of their group of equal texts.
 
-    A row stays if it holds the largest id of its group. Ids are taken as
-    unique here; rows with a null id stay.
+    Defined cases: as in ``exact_groups``; rows with a null id stay, and rows
+    that repeat the kept id with the kept text; an id that other texts repeat is
+    judged text by text.
     """
-    return without(docs, exact_groups(docs, id_col, text_col).filter("not kept").select("doc_id"), id_col)
+    gone = exact_groups(docs, id_col, text_col).filter("not kept").select("doc_id", "text_sha256")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return without(docs, gone, id_col, F.sha2(text.cast("binary"), 256))

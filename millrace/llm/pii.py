@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, replace_texts
 
 BASE = ("email", "ip", "card", "phone")
 #: Added by the method: links with credentials-bearing schemes, account numbers after a cue, IBANs.
@@ -154,24 +154,24 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with each span in ``text_col`` replaced by ``[KIND]``; overlapping spans merge under the first one's kind.
+    """``docs`` with each span in ``text_col`` (a string column) replaced by ``[KIND]``; overlapping spans merge under the first one's kind.
 
-    All columns and rows stay; a null text stays null.
+    Defined cases: all columns and rows stay, whatever their ids; null and empty
+    texts stay as they are; texts are read whole, a few MB at a time.
     """
 
-    def mask(texts: pd.Series) -> pd.Series:
+    def start():
         auto = automaton()
-        out = []
-        for text in texts:
-            if text:
-                base, added = find(text, auto)
-                parts, to = [], 0
-                for kind, s, e in sorted(base + added, key=lambda x: (x[1], RANK[x[0]])):
-                    if s >= to:
-                        parts += [text[to:s], f"[{kind.upper()}]"]
-                    to = max(to, e)
-                text = "".join(parts) + text[to:] if parts else text
-            out.append(text)
-        return pd.Series(out, dtype=object)
-
-    return docs.withColumn(text_col, F.pandas_udf(mask, "string")(F.col(text_col)))
+
+        def mask(text: str) -> str:
+            base, added = find(text, auto) if text else ((), ())
+            parts, to = [], 0
+            for kind, s, e in sorted([*base, *added], key=lambda x: (x[1], RANK[x[0]])):
+                if s >= to:
+                    parts += [text[to:s], f"[{kind.upper()}]"]
+                to = max(to, e)
+            return "".join(parts) + text[to:] if parts else text
+
+        return mask
+
+    return replace_texts(docs, start, text_col)

@@ -57,15 +57,45 @@ def near_copies(groups=6, copies=9, seed=5):
     return docs
 
 
-@pytest.mark.parametrize("words,percent,hot,block", [(3, 90, 1 << 18, 256), (5, 80, 1 << 18, 4), (3, 80, 2, 3), (2, 60, 1 << 18, 8)])
-def test_components_match_brute_force(spark, words, percent, hot, block):
+@pytest.mark.parametrize("words,percent,hot,block,star", [(3, 90, 1 << 18, 256, 4096), (5, 80, 1 << 18, 4, 2), (3, 80, 2, 3, 5), (2, 60, 1 << 18, 8, 3)])
+def test_components_match_brute_force(spark, words, percent, hot, block, star):
     docs = near_copies()
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = jaccard.near_groups(df, shingle_words=words, percent=percent, hot=hot, block=block).collect()
+    got = jaccard.near_groups(df, shingle_words=words, percent=percent, hot=hot, block=block, star=star).collect()
     assert Counter(map(tuple, got)) == brute(docs, words, percent)
     assert len({r["component_id"] for r in got}) < len(docs)
 
 
+def test_promising_loses_no_link():
+    """Whatever the order and the lengths of the prefixes; and unlike pairs mostly go."""
+    rng = np.random.default_rng(12)
+    for percent in (60, 80, 90):
+        order = jaccard.Order(rng.integers(0, 3, 1 << 8).astype(np.uint16), 0.0, percent)
+        sets = []
+        for _ in range(30):
+            base = rng.integers(0, 1 << 40, int(rng.integers(1, 60)))
+            for _ in range(4):
+                keep = base[rng.random(len(base)) < rng.choice([0.5, 0.9, 0.97, 1.0])]
+                sets.append(np.unique(np.append(keep, rng.integers(0, 1 << 40, int(rng.integers(0, 4))))).astype(np.uint64))
+        sets = [s for s in sets if len(s)]
+        prefix = [order.prefix(s)[0] for s in sets]
+        n, every = np.array([len(s) for s in sets]), np.arange(len(sets))
+        may = jaccard.promising(prefix, n, every[::2], every[1::2], order)
+        good = jaccard.linked(sets, every[::2], every[1::2], percent)
+        brute = np.array([[100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b])) for b in every[1::2]] for a in every[::2]])
+        assert (good == brute).all() and may[good].all() and may.sum() < 0.2 * may.size
+
+
+def test_a_large_group_of_near_copies_costs_a_row_each(spark):
+    """No block of it meets another: all members link with their leader."""
+    base = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join(base[:60] + [f"x{i}"] + base[60:])) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    classes, links = jaccard.classes_and_links(df, 3, 90, block=16, star=32)
+    assert len({r["component_id"] for r in jaccard.near_groups(df, shingle_words=3, percent=90, block=16, star=32).collect()}) == 1
+    assert links.count() <= 3 * 300
+
+
 def test_jaccard_on_the_small_table_and_edges(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = jaccard.near_groups(docs, shingle_words=3, percent=90).collect()
@@ -117,13 +147,47 @@ def test_nearest_in_many_blocks(spark, monkeypatch):
 def test_bound_reranks_few_of_many():
     rng = np.random.default_rng(4)
     v, q = rng.standard_normal((8000, 128)), rng.standard_normal((20, 128))
-    codes, norm, f = ann.encode(v, ann.rotation(128))
-    row, cand, _, reranked = ann.search(q, np.full(20, -1), v, np.arange(8000), codes, norm, f, 10)
+    u, exponent = ann.scaled(v)
+    codes, norm, f = ann.encode(u, ann.rotation(128))
+    row, cand, _, _, reranked = ann.search(q, np.full(20, -1), u, np.arange(8000), exponent, codes, norm, f, 10)
     assert codes.shape == (8000, 16) and reranked < 0.5 * 20 * 8000
     best = np.argsort(-(q @ v.T), axis=1)[:, :10]
     assert np.mean([len(set(best[i]) & set(cand[row == i])) / 10 for i in range(20)]) >= 0.97
 
 
+@pytest.mark.parametrize("scale", [1e-300, 1e-170, 1e-60, 1e40, 1e160, 1e300])
+def test_search_at_any_magnitude(scale):
+    """The same neighbours and as few reranked pairs, whatever the size of the vectors."""
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((3000, 64))
+    u, exponent = ann.scaled(v * scale)
+    codes, norm, f = ann.encode(u, ann.rotation(64))
+    row, cand, score, power, reranked = ann.search(v[:30] * scale, np.arange(30), u, np.arange(3000), exponent, codes, norm, f, 20)
+    product = v[:30] @ v.T
+    product[np.arange(30), np.arange(30)] = -np.inf
+    best = np.argsort(-product, axis=1)[:, :20]
+    assert np.bincount(row).tolist() == [20] * 30 and reranked < 0.6 * 30 * 3000
+    assert np.mean([len(set(best[i]) & set(cand[row == i])) / 20 for i in range(30)]) >= 0.97
+    if scale == 1e40:
+        assert np.allclose(np.ldexp(score, power), product[row, cand] * 1e80, rtol=1e-12)
+
+
+def test_nearest_of_mixed_magnitudes_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CANDIDATE_ROWS", 200)
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.standard_normal(16) * 10.0 ** float(rng.choice([-180, -3, 0, 90, 140]))).tolist()) for i in range(600)] + [(7, [1e150] * 16)] * 500
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100).collect()
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by[r["query_id"]].append(r["vec_id"])
+    from fractions import Fraction
+
+    for q in range(0, 600, 100):
+        product = lambda v, q=q: sum(Fraction(a) * Fraction(b) for a, b in zip(rows[q][1], v))
+        want = [i for _, i in sorted((-product(v), i) for i, v in rows if i != q)[:20]]
+        assert len(by[q]) == 20 and sum((Counter(want) & Counter(by[q])).values()) >= 18
+
+
 def test_nearest_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], "x"), (20, [1.0, 1.0], "x"), (3, [1.0, 0.0], "x"), (2, [1.0, 0.0], "x"), (4, [0.0, 0.0], "x"), (5, None, "x"), (6, [], "x"), (7, [nan, 1.0], "x"), (8, [inf, 1.0], "x"), (40, [None, 1.0], "x"), (None, [1.0, 2.0], "x"), (60, [1.0, 1.0, 1.0], "x")]
@@ -184,6 +248,15 @@ def test_dictionary_leads_and_breaks_are_found(spark):
     assert len(warc.leading_frame(None)) == 0 and list(warc.decode_frames(b"")) == []
 
 
+def test_unequal_payloads_of_one_sha1_stay_apart(spark):
+    """The digest in the records may collide; the match must not rest on it."""
+    rows = [(1, "u", "a" * 2000), (2, "u", "b" * 2000), (3, "u", "a" * 2000)]
+    df = warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["refers_to"] for r in df.collect()} == {1: 3, 2: None, 3: None}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2(" in plan and not any("Join" in line and "digest" in line for line in plan.splitlines())
+
+
 # --- pipeline
 
 
@@ -238,3 +311,28 @@ def test_queries_are_registered():
 def test_no_absolute_paths():
     here = os.path.dirname(warc.__file__)
     assert not any("/root/" in open(os.path.join(here, f)).read() for f in os.listdir(here) if f.endswith(".py"))
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, null and repeated ids, repeated rows, columns with clashing names."""
+    import corpus_pipeline
+
+    docs = cases.frame(spark)
+    twin = cases.rows()[6]
+    docs = docs.unionByName(spark.createDataFrame([(twin[0], "another text under an id that repeats") + twin[2:]], cases.SCHEMA))
+    labels = spark.createDataFrame([(1, 0, 1), (None, 1, None), (1, 0, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, some in (("full", labels), ("none", labels.limit(0))):
+        some.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    for folder, rows in (("full", docs), ("none", docs), ("none", docs.limit(0))):
+        at = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, at, f"{tmp_path}/{folder}").cache()
+            assert out.columns == docs.columns and out.count() <= at.count()
+            assert out.filter("doc_id is null").count() == at.filter("doc_id is null").count()
+            at = out
+        packed = corpus_pipeline.STAGES[-1][1](spark, at, f"{tmp_path}/{folder}")
+        if rows.isEmpty():
+            assert packed.count() == 0
+        else:
+            texts = [r["text"] for r in at.collect()]
+            assert "another text under an id that repeats" in texts and packed.filter("piece = 0").count() == len(texts)

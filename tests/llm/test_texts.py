@@ -180,6 +180,13 @@ def test_spm_on_random_texts(processor, text):
     assert (n, ids, decoded) == (len(want), ",".join(map(str, want)), processor.decode(want))
 
 
+def test_spm_portions_and_nul(processor):
+    table = spm.ChunkTable(P.path("piece_bpe_32k.model"), entries=6)
+    for text in ("a b c d e f g h i j k l a b c", "x\0y z\0 \0", "\0"):
+        ids = processor.encode(text)
+        assert table.encode(text) == (len(ids), ",".join(map(str, ids)), processor.decode(ids)) and len(table.table) <= 6
+
+
 _TABLE = spm.ChunkTable(P.path("piece_bpe_32k.model"))
 
 
