@@ -21,7 +21,7 @@ class StarQuery:
 
     fact: DataFrame
     filters: tuple[Column, ...] = ()
-    dimensions: tuple[tuple[DataFrame, str, str, tuple[Column, ...]], ...] = ()
+    dimensions: tuple[tuple[DataFrame, str, str, tuple[Column, ...], tuple[str, ...]], ...] = ()
     keys: tuple[str, ...] = ()
     measures: tuple[Column, ...] = ()
     kept: Column | None = None
@@ -31,8 +31,9 @@ class StarQuery:
     def where(self, *conditions: Column) -> StarQuery:
         return replace(self, filters=self.filters + conditions)
 
-    def join(self, dimension: DataFrame, fact_key: str, key: str, *conditions: Column) -> StarQuery:
-        return replace(self, dimensions=(*self.dimensions, (dimension, fact_key, key, conditions)))
+    def join(self, dimension: DataFrame, fact_key: str, key: str, *conditions: Column, take: tuple[str, ...] = ()) -> StarQuery:
+        """``take`` names columns of the dimension that measures use."""
+        return replace(self, dimensions=(*self.dimensions, (dimension, fact_key, key, conditions, take)))
 
     def group_by(self, *keys: str) -> StarQuery:
         return replace(self, keys=keys)
@@ -49,18 +50,23 @@ class StarQuery:
     def with_prefilter(self) -> StarQuery:
         return replace(self, prefilter=True)
 
-    def build(self) -> DataFrame:
+    def joined(self) -> DataFrame:
+        """The fact rows that pass, with the columns of the dimensions that are grouped by or taken; not aggregated."""
         df = self.fact
         for c in self.filters:
             df = df.filter(c)
-        for dimension, fact_key, key, conditions in self.dimensions:
+        for dimension, fact_key, key, conditions, take in self.dimensions:
             for c in conditions:
                 dimension = dimension.filter(c)
-            used = [c for c in dimension.columns if c in self.keys and c != key]
+            used = [c for c in dimension.columns if c in (*self.keys, *take) and c != key]
             dimension = dimension.select(F.col(key).alias("__key"), *used)
             how = "left_semi" if self.prefilter and not used else "inner"
             df = df.join(dimension, df[fact_key] == dimension["__key"], how)
             df = df if how == "left_semi" else df.drop("__key")
+        return df
+
+    def build(self) -> DataFrame:
+        df = self.joined()
         df = df.groupBy(*self.keys).agg(*self.measures) if self.measures else df.select(*self.keys)
         if self.kept is not None:
             df = df.filter(self.kept)

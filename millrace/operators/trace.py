@@ -4,8 +4,8 @@ A trace table has ``query, idx, ts, phase, api, addr, bytes, kind, args``: idx i
 the line number within the query, ts the time in microseconds, phase
 ``intercepting`` (before the call) or ``intercepted`` (after), kind 1 for copies
 to the device and 2 from it. Every operator works per query; within a query,
-windows are partitioned further (by address) or run over blocks of lines where
-the semantics allow.
+windows are partitioned further (by address) or run over blocks of ``LINES``
+lines that hand on their borders, so a long query is the work of many tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .encoding import prefix_sum
+from .encoding import carried, prefix_sum
+
+#: Lines of a block.
+LINES = 1 << 16
 
 #: Device memory that a footprint is flagged against, and the bytes of an address page.
 DEVICE_BYTES = 1_470_000_000
@@ -51,6 +54,23 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def to_lines(trace: DataFrame) -> DataFrame:
+    """``query, idx, value``: trace rows as the lines that ``parse_lines`` reads."""
+    hexa = lambda c: F.lower(F.hex(c))
+    arg = F.lpad(hexa(F.col("arg")), 16, "0")
+    octets = F.concat_ws(" ", *[F.substring(arg, i, 2) for i in range(15, 0, -2)])  # the lowest first
+    call = (
+        F.when(F.col("phase") == "intercepting", F.concat(F.col("api"), F.lit(" at 0")))
+        .when(F.col("api") == "cudaMalloc", F.concat(F.lit("cudaMalloc( "), hexa("addr"), F.lit(" "), F.col("bytes").cast("string"), F.lit(" ) = 0")))
+        .when(F.col("api") == "cudaFree", F.concat(F.lit("cudaFree( "), hexa("addr"), F.lit(" ) = 0")))
+        .when(F.col("api") == "cudaMemcpy", F.concat(F.lit("cudaMemcpy( "), hexa("addr"), F.lit(" 0 "), F.col("bytes").cast("string"), F.lit(" "), F.col("kind").cast("string"), F.lit(" ) = 0")))
+        .when(F.col("api") == "cudaSetupArgument", F.concat(F.lit("cudaSetupArgument( 8 "), octets, F.lit(" ) = 0")))
+        .otherwise(F.concat(F.col("api"), F.lit(" = 0")))
+    )
+    time = F.format_string("%d.%06d", F.expr("ts div 1000000"), F.col("ts") % 1_000_000)
+    return trace.select("query", "idx", F.concat(F.lit("[gvm] "), time, F.lit(" "), F.col("phase"), F.lit(" "), call).alias("value"))
+
+
 def pairs(trace: DataFrame) -> DataFrame:
     """``query, addr, alloc_idx, alloc_ts, free_idx, free_ts, bytes``: each free with the latest allocation of its address before it.
 
@@ -64,14 +84,18 @@ def pairs(trace: DataFrame) -> DataFrame:
 
 
 def deltas(trace: DataFrame) -> DataFrame:
-    """``query, idx, ts, delta``: plus the bytes at each allocation that is freed, minus them at each free."""
+    """``query, idx, ts, delta``: for each free that has an allocation, plus its bytes at the allocation and minus them at the free.
+
+    An allocation freed twice counts for each free, so that the sums balance:
+    allocated bytes are never negative and end at 0.
+    """
     p = pairs(trace)
-    ups = p.select("query", F.col("alloc_idx").alias("idx"), F.col("alloc_ts").alias("ts"), F.col("bytes").alias("delta")).distinct()
+    ups = p.select("query", F.col("alloc_idx").alias("idx"), F.col("alloc_ts").alias("ts"), F.col("bytes").alias("delta"))
     return ups.unionByName(p.select("query", F.col("free_idx").alias("idx"), F.col("free_ts").alias("ts"), (-F.col("bytes")).alias("delta")))
 
 
-def timeline(trace: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """``query, idx, ts, before, after``: allocated bytes around each change."""
+def timeline(trace: DataFrame, block: int = LINES) -> DataFrame:
+    """``query, idx, ts, before, after``: allocated bytes around each change; a line that counts several times makes as many steps."""
     run = prefix_sum(deltas(trace), "idx", "delta", ("query",), block, "after")
     return run.select("query", "idx", "ts", (F.col("after") - F.col("delta")).alias("before"), "after")
 
@@ -97,7 +121,7 @@ def pair_footprints(peaks_df: DataFrame, device_bytes: int = DEVICE_BYTES) -> Da
     return a.join(b, F.col("query_a") <= F.col("query_b")).select("query_a", "query_b", (F.col("pa") + F.col("pb")).alias("bytes"), (F.col("pa") + F.col("pb") > device_bytes).alias("over"))
 
 
-def kernel_usage(trace: DataFrame, page: int = PAGE) -> DataFrame:
+def kernel_usage(trace: DataFrame, page: int = PAGE, block: int = LINES) -> DataFrame:
     """``query, launch_idx, ts, bytes``: for each launch, the bytes that its 8-byte arguments point at.
 
     Arguments are those set since the launch before. An argument counts what is
@@ -106,10 +130,8 @@ def kernel_usage(trace: DataFrame, page: int = PAGE) -> DataFrame:
     Allocations are cut into pages, so the range join is an equality on
     (query, page) refined by the range.
     """
-    # the next launch, looking back from the end: a frame that only grows costs one pass
-    w = Window.partitionBy("query").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
     launch = F.when((F.col("api") == "cudaLaunch") & (F.col("phase") == "intercepted"), F.struct("idx", "ts"))
-    args = trace.withColumn("l", F.last(launch, ignorenulls=True).over(w)).filter("api = 'cudaSetupArgument' and phase = 'intercepted' and arg is not null and l is not null").select("query", F.col("idx").alias("arg_idx"), "arg", F.col("l.idx").alias("launch_idx"))
+    args = carried(trace, "idx", launch, "l", ("query",), back=True, own=True, block=block).filter("api = 'cudaSetupArgument' and phase = 'intercepted' and arg is not null and l is not null").select("query", F.col("idx").alias("arg_idx"), "arg", F.col("l.idx").alias("launch_idx"))
     spans = pairs(trace).select("query", "alloc_idx", "addr", "bytes").distinct()
     paged = spans.withColumn("page", F.explode(F.sequence(F.floor(F.col("addr") / page), F.floor((F.col("addr") + F.greatest("bytes", F.lit(1)) - 1) / page))))
     a = args.withColumn("page", F.floor(F.col("arg") / page))
@@ -120,16 +142,16 @@ def kernel_usage(trace: DataFrame, page: int = PAGE) -> DataFrame:
     return launches.join(used, ["query", "launch_idx"], "left").select("query", "launch_idx", "ts", F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
-def copy_spans(trace: DataFrame) -> DataFrame:
+def copy_spans(trace: DataFrame, block: int = LINES) -> DataFrame:
     """``query, idx, begin, end, bytes, kind``: a copy's call line with the line after it."""
-    w = Window.partitionBy("query").orderBy("idx")
-    return trace.withColumn("end", F.lead("ts").over(w)).withColumn("size", F.lead("bytes").over(w)).withColumn("k", F.lead("kind").over(w)).filter("api = 'cudaMemcpy' and phase = 'intercepting' and end is not null").select("query", "idx", F.col("ts").alias("begin"), "end", F.col("size").alias("bytes"), F.col("k").alias("kind"))
+    rows = carried(trace, "idx", F.struct("ts", "bytes", "kind"), "n", ("query",), back=True, block=block)
+    return rows.filter("api = 'cudaMemcpy' and phase = 'intercepting' and n.ts is not null").select("query", "idx", F.col("ts").alias("begin"), F.col("n.ts").alias("end"), F.col("n.bytes").alias("bytes"), F.col("n.kind").alias("kind"))
 
 
-def areas(timeline_df: DataFrame) -> DataFrame:
+def areas(timeline_df: DataFrame, block: int = LINES) -> DataFrame:
     """``query, area, span``: allocated bytes times microseconds, and microseconds with anything allocated."""
-    w = Window.partitionBy("query").orderBy("idx")
-    held = timeline_df.withColumn("dt", F.coalesce(F.lead("ts").over(w) - F.col("ts"), F.lit(0))).filter("after > 0")
+    rows = carried(timeline_df, "idx", F.col("ts"), "next_ts", ("query",), back=True, ties=("after",), block=block)
+    held = rows.withColumn("dt", F.coalesce(F.col("next_ts") - F.col("ts"), F.lit(0))).filter("after > 0")
     return held.groupBy("query").agg(F.sum(F.col("after").cast("decimal(38,0)") * F.col("dt")).alias("area"), F.sum("dt").cast("bigint").alias("span"))
 
 
@@ -143,22 +165,22 @@ def utilisation(timeline_df: DataFrame, busy: DataFrame) -> DataFrame:
     return areas(timeline_df).join(work, "query", "left").select("query", (F.coalesce(F.col("work"), F.lit(0)).cast("double") / F.when(F.col("area") > 0, F.col("area").cast("double"))).alias("utilisation"))
 
 
-def gantt(trace: DataFrame) -> DataFrame:
+def gantt(trace: DataFrame, block: int = LINES) -> DataFrame:
     """``query, idx, class, begin, end``: a span per call of a known class, and a span of class 5 for the gap before it; times from the query's first line."""
-    w = Window.partitionBy("query").orderBy("idx")
-    before = Window.partitionBy("query", "api").orderBy("idx")
-    rows = trace.withColumn("origin", F.min("ts").over(Window.partitionBy("query"))).withColumn("called", F.lag("ts").over(before)).withColumn("called_phase", F.lag("phase").over(before))
+    origin = trace.groupBy("query").agg(F.min("ts").alias("origin"))
+    rows = carried(trace, "idx", F.struct("ts", "phase"), "called", ("query", "api"), block=block)
     name = F.when((F.col("api") == "cudaMemcpy") & (F.col("kind") == 1), "H2D").when((F.col("api") == "cudaMemcpy") & (F.col("kind") == 2), "D2H").when(F.col("api").isin("cudaLaunch", "diskIO", "cudaMalloc"), F.col("api"))
     number = F.coalesce(*[F.when(name == k, v) for k, v in CLASSES.items()])
-    calls = rows.filter((F.col("phase") == "intercepted") & name.isNotNull() & (F.col("called_phase") == "intercepting")).select("query", "idx", number.alias("class"), (F.col("called") - F.col("origin")).alias("begin"), (F.col("ts") - F.col("origin")).alias("end"))
-    gaps = calls.select("query", "idx", F.lit(CLASSES["other"]).alias("class"), F.coalesce(F.lag("end").over(w), F.lit(0)).alias("begin"), F.col("begin").alias("end"))
+    calls = rows.filter((F.col("phase") == "intercepted") & name.isNotNull() & (F.col("called.phase") == "intercepting")).join(origin, "query").select("query", "idx", number.alias("class"), (F.col("called.ts") - F.col("origin")).alias("begin"), (F.col("ts") - F.col("origin")).alias("end"))
+    gaps = carried(calls, "idx", F.col("end"), "before", ("query",), block=block).select("query", "idx", F.lit(CLASSES["other"]).alias("class"), F.coalesce("before", F.lit(0)).alias("begin"), F.col("begin").alias("end"))
     return calls.unionByName(gaps)
 
 
 def class_stats(spans: DataFrame) -> DataFrame:
-    """``class, n, total, mean, median`` of the spans' durations."""
+    """``class, n, total, mean, least, q1, median, q3, most`` of the spans' durations."""
     d = F.col("end") - F.col("begin")
-    return spans.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum(d).cast("bigint").alias("total"), F.avg(d).alias("mean"), F.percentile(d, 0.5).alias("median"))
+    at = lambda p, name: F.percentile(d, p).alias(name)
+    return spans.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum(d).cast("bigint").alias("total"), F.avg(d).alias("mean"), F.min(d).alias("least"), at(0.25, "q1"), at(0.5, "median"), at(0.75, "q3"), F.max(d).alias("most"))
 
 
 def footprint_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -169,11 +191,11 @@ def footprint_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("query", (F.col("t") - F.min("t").over(Window.partitionBy("query"))).alias("ts"), "mb")
 
 
-def regions(trace: DataFrame, gap: int = 10) -> DataFrame:
-    """``query, addr, size, base``: each address's largest allocation, stacked from ``gap`` up with ``gap`` between."""
+def regions(trace: DataFrame, gap: int = 10, block: int = 1 << 30) -> DataFrame:
+    """``query, addr, size, base``: each address's largest allocation, stacked from ``gap`` up with ``gap`` between; sums run in blocks of addresses."""
     size = trace.filter("api = 'cudaMalloc' and phase = 'intercepted'").groupBy("query", "addr").agg(F.max("bytes").alias("size"))
-    below = Window.partitionBy("query").orderBy("addr").rowsBetween(Window.unboundedPreceding, -1)
-    return size.select("query", "addr", "size", (F.coalesce(F.sum(F.col("size") + gap).over(below), F.lit(0)) + gap).cast("bigint").alias("base"))
+    stacked = prefix_sum(size.withColumn("room", F.col("size") + gap), "addr", "room", ("query",), block, "top")
+    return stacked.select("query", "addr", "size", (F.col("top") - F.col("size")).cast("bigint").alias("base"))
 
 
 def from_events(events: DataFrame, queries: int = 7, addresses: int = 40) -> DataFrame:

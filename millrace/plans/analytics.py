@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators import encoding as E
 from ..operators import trace as T
+from ..sources import delimited, ssbgen
+from ..sources.schema import parse_schema
 from . import workload as W
 
 BLOCK = 1000
@@ -55,15 +59,42 @@ def enc_dict_filter(s, d):
     return E.dict_filter(coded, codes, (F.col("value") == "Brand#3") | (F.col("value") > "Brand#7")).select("p_partkey")
 
 
+def enc_dict_join(s, d):
+    brands = _t(s, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    return E.dict_join(E.dict_encode(_parts(s, d), "p_brand"), E.dict_encode(brands, "p_brand")).select("p_partkey", "n")
+
+
+def enc_rle_join(s, d):
+    return E.rle_join(enc_rle(s, d), _t(s, d, "nation"), "n_nationkey").groupBy("n_name").agg(F.sum("run_length").alias("n"))
+
+
 def scan_prefix_sum(s, d):
     rows = _t(s, d, "events").select("event_id", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
     return E.prefix_sum(rows, "event_id", "cents", block=BLOCK)
 
 
 def column_sort(s, d):
-    from ..sources.delimited import column_sort as sort
+    return delimited.column_sort(_t(s, d, "part").select("p_size", "p_partkey"), "p_size")
+
+
+# --- sources and sinks
+
 
-    return sort(_t(s, d, "part").select("p_size", "p_partkey"), "p_size")
+def _scratch(s):
+    """A folder that the driver and all executors see, new each time."""
+    return f"{(s.conf.get('spark.checkpoint.dir', None) or s.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/delimited-{uuid.uuid4().hex}"
+
+
+def source_delimited(s, d):
+    rows = _t(s, d, "customer").select(F.col("c_custkey").cast("int").alias("C_KEY"), F.col("c_name").alias("C_NAME"), F.col("c_acctbal").cast("decimal(18,2)").alias("C_BALANCE"))
+    at = _scratch(s)
+    delimited.write_delimited(rows, f"{at}/text")
+    tables = parse_schema("CUSTOMER|C_KEY:INTEGER|C_NAME:TEXT:25|C_BALANCE:DECIMAL")
+    return delimited.load_table(s, tables, "customer", f"{at}/text", f"{at}/customer", sort_by="C_KEY").select("C_KEY", "C_NAME", F.col("C_BALANCE").cast("double").alias("C_BALANCE"))
+
+
+def gen_dates(s, d):
+    return ssbgen.dates(s).select("d_datekey", "d_year", "d_yearmonthnum", "d_daynuminmonth", "d_daynuminyear", "d_monthnuminyear", "d_weeknuminyear", "d_lastdayinmonthfl")
 
 
 # --- predicates
@@ -89,6 +120,10 @@ def _trace(s, d):
     return T.from_events(_t(s, d, "events"))
 
 
+def trace_parse(s, d):
+    return T.parse_lines(T.to_lines(_trace(s, d)))
+
+
 def trace_pairs(s, d):
     return T.pairs(_trace(s, d))
 
@@ -114,44 +149,44 @@ def trace_pair_footprint(s, d):
 
 
 def trace_kernel_usage(s, d):
-    return T.kernel_usage(_trace(s, d))
+    return T.kernel_usage(_trace(s, d), block=BLOCK)
 
 
 def trace_copy_spans(s, d):
-    return T.copy_spans(_trace(s, d))
+    return T.copy_spans(_trace(s, d), block=BLOCK)
 
 
 def trace_areas(s, d):
-    return T.areas(trace_timeline(s, d)).select("query", F.col("area").cast("double").alias("area"), "span")
+    return T.areas(trace_timeline(s, d), BLOCK).select("query", F.col("area").cast("double").alias("area"), "span")
 
 
 def trace_utilisation(s, d):
-    busy = T.copy_spans(_trace(s, d)).select("query", "begin", "end", "bytes")
+    busy = T.copy_spans(_trace(s, d), block=BLOCK).select("query", "begin", "end", "bytes")
     return T.utilisation(trace_timeline(s, d), busy).select("query", F.round("utilisation", 12).alias("utilisation"))
 
 
 def trace_gantt(s, d):
-    return T.gantt(_trace(s, d))
+    return T.gantt(_trace(s, d), block=BLOCK)
 
 
 def trace_class_stats(s, d):
-    return T.class_stats(T.gantt(_trace(s, d))).select("class", "n", "total", F.round("mean", 4).alias("mean"), "median")
+    return T.class_stats(T.gantt(_trace(s, d), block=BLOCK)).withColumn("mean", F.round("mean", 4))
 
 
 def trace_regions(s, d):
     return T.regions(_trace(s, d))
 
 
-# --- workloads: the customers' orders stand for recorded runs
+# --- workloads: the orders stand for recorded runs, the customers for queries to admit
 
 
-def _runs(s, d, orders="o_orderkey < 1200"):
-    o = _t(s, d, "orders").filter(orders)
+def _runs(s, d):
+    o = _t(s, d, "orders")
     return o.select(F.concat(F.lit("c"), (F.col("o_orderkey") % 12).cast("string")).alias("combo"), F.concat(F.lit("q"), (F.col("o_orderkey") % 12 % 4).cast("string"), F.lit("#0")).alias("query"), (F.floor(F.col("o_orderkey") / 12) % 9 + 1).cast("int").alias("run_no"), F.col("o_totalprice").alias("total_ms"), F.when((F.col("o_orderkey") % 12 == 5) & (F.col("o_orderstatus") == "P"), "boom").otherwise("").alias("error"))
 
 
-def _solo(s, d, orders="o_orderkey < 1200"):
-    return W.solo_stats(_runs(s, d, orders).withColumn("query", F.substring_index("query", "#", 1)))
+def _solo(s, d):
+    return W.solo_stats(_runs(s, d).withColumn("query", F.substring_index("query", "#", 1)))
 
 
 def corun_solo_avg(s, d):
@@ -166,8 +201,8 @@ def corun_speedup(s, d):
     return W.weighted_speedup(_runs(s, d), _solo(s, d)).select("combo", F.round("speedup", 9).alias("speedup"))
 
 
-def corun_crashes(s, d, orders="o_orderkey < 1200"):
-    o = _t(s, d, "orders").filter(orders)
+def corun_crashes(s, d):
+    o = _t(s, d, "orders")
     lines = o.select(F.concat(F.lit("c"), (F.col("o_orderkey") % 12).cast("string")).alias("combo"), F.when(F.col("o_orderkey") % 2 == 0, "error").otherwise("trace").alias("stream"), F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("evicting region "), F.col("o_orderstatus"))).otherwise("").alias("line"))
     return W.crash_report(lines)
 
@@ -183,30 +218,6 @@ def corun_pairs(s, d):
 
 
 def corun_admission(s, d):
-    mix = _t(s, d, "customer").filter("c_custkey < 150").select(F.col("c_custkey").alias("seq"), F.concat(F.lit("q"), (F.col("c_custkey") % 13).cast("string")).alias("query"), (F.col("c_custkey") % 7 * 100_000_000 + 100_000_000).alias("bytes"))
-    return W.greedy_batches(mix)
-
-
-# The same over every order and every customer.
-
-
-def corun_solo_avg_whole(s, d):
-    return _solo(s, d, "true").select("query", F.round("solo_ms", 6).alias("solo_ms"))
-
-
-def corun_stats_whole(s, d):
-    return W.corun_stats(_runs(s, d, "true")).select("combo", "query", F.round("corun_ms", 6).alias("corun_ms"))
-
-
-def corun_speedup_whole(s, d):
-    return W.weighted_speedup(_runs(s, d, "true"), _solo(s, d, "true")).select("combo", F.round("speedup", 9).alias("speedup"))
-
-
-def corun_crashes_whole(s, d):
-    return corun_crashes(s, d, "true")
-
-
-def corun_admission_whole(s, d):
     key = F.col("c_custkey")
     mix = _t(s, d, "customer").select(F.floor(key / MIX).cast("long").alias("workload"), key.cast("long").alias("seq"), F.concat(F.lit("q"), (key % 13).cast("string")).alias("query"), (key % 7 * 100_000_000 + 100_000_000).cast("long").alias("bytes"))
     return W.greedy_batches(mix, workload="workload")
@@ -224,12 +235,12 @@ tr as (
 mf as (select * from tr where phase = 'intercepted' and api in ('cudaMalloc', 'cudaFree')),
 pr as (select f.query, f.addr, m.idx as alloc_idx, m.ts as alloc_ts, f.idx as free_idx, f.ts as free_ts, m.bytes
        from mf f asof join (select * from mf where api = 'cudaMalloc') m on f.query = m.query and f.addr = m.addr and f.idx > m.idx where f.api = 'cudaFree'),
-dl as (select distinct query, alloc_idx as idx, alloc_ts as ts, bytes as delta from pr union all select query, free_idx, free_ts, -bytes from pr),
-tl as (select query, idx, ts, cast(sum(delta) over (partition by query order by idx) - delta as bigint) as "before", cast(sum(delta) over (partition by query order by idx) as bigint) as "after" from dl),
+dl as (select query, alloc_idx as idx, alloc_ts as ts, bytes as delta from pr union all select query, free_idx, free_ts, -bytes from pr),
+tl as (select query, idx, ts, cast(sum(delta) over w - delta as bigint) as "before", cast(sum(delta) over w as bigint) as "after" from dl window w as (partition by query order by idx rows unbounded preceding)),
 pk as (select query, max("after") as peak, max("after") > 200000 as over from tl group by query),
 cp as (select query, idx, ts as "begin", lead(ts) over w as "end", lead(bytes) over w as bytes, lead(kind) over w as kind, api, phase from tr window w as (partition by query order by idx)),
 cs as (select query, idx, "begin", "end", bytes, kind from cp where api = 'cudaMemcpy' and phase = 'intercepting' and "end" is not null),
-dt as (select query, "after", coalesce(lead(ts) over (partition by query order by idx) - ts, 0) as d from tl),
+dt as (select query, "after", coalesce(lead(ts) over (partition by query order by idx, "after") - ts, 0) as d from tl),
 ar as (select query, cast(sum(cast("after" as hugeint) * d) as double) as area, cast(sum(d) as bigint) as span from dt where "after" > 0 group by query),
 og as (select query, min(ts) as origin from tr group by query),
 la as (select tr.*, lag(ts) over w as called, lag(phase) over w as called_phase from tr window w as (partition by query, api order by idx)),
@@ -249,11 +260,6 @@ def _of_trace(select: str) -> str:
 
 
 _RUNS = """
-runs as (select 'c' || (o_orderkey % 12) as combo, 'q' || (o_orderkey % 12 % 4) || '#0' as query, cast(o_orderkey // 12 % 9 + 1 as integer) as run_no, o_totalprice as total_ms,
-                case when o_orderkey % 12 = 5 and o_orderstatus = 'P' then 'boom' else '' end as error from orders where o_orderkey < 1200),
-solo as (select split_part(query, '#', 1) as query, avg(total_ms) as solo_ms from runs where run_no > 1 group by all)
-"""
-_WHOLE_RUNS = """
 runs as (select 'c' || (o_orderkey % 12) as combo, 'q' || (o_orderkey % 12 % 4) || '#0' as query, cast(o_orderkey // 12 % 9 + 1 as integer) as run_no, o_totalprice as total_ms,
                 case when o_orderkey % 12 = 5 and o_orderstatus = 'P' then 'boom' else '' end as error from orders),
 solo as (select split_part(query, '#', 1) as query, avg(total_ms) as solo_ms from runs where run_no > 1 group by all)
@@ -273,6 +279,11 @@ ORACLES = {
     "enc_dict": f"with {_DICT} select p_partkey, cast(code as integer) as code from part join codes on p_brand = value",
     "enc_dict_roundtrip": "select p_partkey, p_brand from part",
     "enc_dict_filter": "select p_partkey from part where p_brand = 'Brand#3' or p_brand > 'Brand#7'",
+    "enc_dict_join": "select p_partkey, count(*) over (partition by p_brand) as n from part",
+    "enc_rle_join": "select n_name, count(*) as n from events join nation on cast(floor(value / 40) as integer) = n_nationkey group by n_name",
+    "source_delimited": "select cast(c_custkey as integer) as C_KEY, c_name as C_NAME, cast(cast(c_acctbal as decimal(18, 2)) as double) as C_BALANCE from customer",
+    "gen_dates": "select cast(strftime(t, '%Y%m%d') as integer) as d_datekey, cast(year(t) as integer) as d_year, cast(year(t) * 100 + month(t) as integer) as d_yearmonthnum, cast(day(t) as integer) as d_daynuminmonth, cast(dayofyear(t) as integer) as d_daynuminyear, cast(month(t) as integer) as d_monthnuminyear, cast(week(t) as integer) as d_weeknuminyear, cast(last_day(t) = t as integer) as d_lastdayinmonthfl from (select cast(date '1992-01-01' + cast(i as integer) as date) as t from range(2557) r(i)) x",
+    "trace_parse": _of_trace("select query, idx, ts, phase, api, addr, bytes, kind, arg from tr"),
     "scan_prefix_sum": "select event_id, cast(round(value * 100) as bigint) as cents, cast(sum(cast(round(value * 100) as bigint)) over (order by event_id) as bigint) as prefix from events",
     "column_sort": "select p_size, p_partkey from part order by p_size",
     "predicate_any_frame": "select p_partkey, p_size from part where p_size > (select min(n_nationkey) from nation where n_regionkey = 3)",
@@ -289,25 +300,15 @@ ORACLES = {
     "trace_areas": _of_trace("select * from ar"),
     "trace_utilisation": _of_trace('select ar.query, round(cast(coalesce(work, 0) as double) / area, 12) as utilisation from ar left join (select query, sum(cast(bytes as hugeint) * ("end" - "begin")) as work from cs group by query) b on ar.query = b.query'),
     "trace_gantt": _of_trace("select * from ga"),
-    "trace_class_stats": _of_trace('select class, count(*) as n, cast(sum("end" - "begin") as bigint) as total, round(avg("end" - "begin"), 4) as mean, quantile_cont(cast("end" - "begin" as double), 0.5) as median from ga group by class'),
+    "trace_class_stats": _of_trace('select class, count(*) as n, cast(sum("end" - "begin") as bigint) as total, round(avg("end" - "begin"), 4) as mean, min("end" - "begin") as least, max("end" - "begin") as most, quantile_cont(cast("end" - "begin" as double), 0.25) as q1, quantile_cont(cast("end" - "begin" as double), 0.5) as median, quantile_cont(cast("end" - "begin" as double), 0.75) as q3 from ga group by class'),
     "trace_regions": _of_trace("select query, addr, size, cast(coalesce(sum(size + 10) over (partition by query order by addr rows between unbounded preceding and 1 preceding), 0) + 10 as bigint) as base from (select query, addr, max(bytes) as size from tr where api = 'cudaMalloc' and phase = 'intercepted' group by all)"),
     "corun_solo_avg": f"with {_RUNS} select query, round(solo_ms, 6) as solo_ms from solo",
     "corun_stats": f"with {_RUNS} select combo, query, round(avg(total_ms), 6) as corun_ms from runs where run_no between 2 and 6 group by all",
     "corun_speedup": f"with {_RUNS}, st as (select combo, query, avg(total_ms) as ms from runs where run_no between 2 and 4 and combo not in (select combo from runs where error <> '') group by all) select combo, round(sum(solo_ms / ms), 9) as speedup from st join solo on split_part(st.query, '#', 1) = solo.query group by combo",
-    "corun_crashes": "with l as (select 'c' || (o_orderkey % 12) as combo, o_orderkey % 2 = 0 as err, case when o_orderkey % 7 = 0 then 'evicting region ' || o_orderstatus else '' end as line from orders where o_orderkey < 1200) select combo, bool_or(err and line <> '') as crashed, bool_or(not err and contains(line, 'evicting region')) as evicted from l group by combo",
+    "corun_crashes": "with l as (select 'c' || (o_orderkey % 12) as combo, o_orderkey % 2 = 0 as err, case when o_orderkey % 7 = 0 then 'evicting region ' || o_orderstatus else '' end as line from orders) select combo, bool_or(err and line <> '') as crashed, bool_or(not err and contains(line, 'evicting region')) as evicted from l group by combo",
     "corun_triples": "with n as (select n_name as x from nation where n_regionkey = 1) select a.x as a, b.x as b, c.x as c from n a join n b on a.x < b.x join n c on b.x < c.x",
     "corun_pairs": "select a.n_name as a, b.n_name as b from nation a join nation b on a.n_name <= b.n_name",
-    "corun_admission": """
-        with recursive mix as (select c_custkey as seq, 'q' || (c_custkey % 13) as query, c_custkey % 7 * 100000000 + 100000000 as bytes, row_number() over (order by c_custkey) as k from customer where c_custkey < 150),
-        go as (select k, seq, query, bytes, bytes as total, 0 as batch from mix where k = 1
-               union all select m.k, m.seq, m.query, m.bytes, case when g.total + m.bytes > 1600000000 then m.bytes else g.total + m.bytes end, case when g.total + m.bytes > 1600000000 then g.batch + 1 else g.batch end
-               from go g join mix m on m.k = g.k + 1)
-        select seq, query, bytes, cast(batch as integer) as batch from go""",
-    "corun_solo_avg_whole": f"with {_WHOLE_RUNS} select query, round(solo_ms, 6) as solo_ms from solo",
-    "corun_stats_whole": f"with {_WHOLE_RUNS} select combo, query, round(avg(total_ms), 6) as corun_ms from runs where run_no between 2 and 6 group by all",
-    "corun_speedup_whole": f"with {_WHOLE_RUNS}, st as (select combo, query, avg(total_ms) as ms from runs where run_no between 2 and 4 and combo not in (select combo from runs where error <> '') group by all) select combo, round(sum(solo_ms / ms), 9) as speedup from st join solo on split_part(st.query, '#', 1) = solo.query group by combo",
-    "corun_crashes_whole": "with l as (select 'c' || (o_orderkey % 12) as combo, o_orderkey % 2 = 0 as err, case when o_orderkey % 7 = 0 then 'evicting region ' || o_orderstatus else '' end as line from orders) select combo, bool_or(err and line <> '') as crashed, bool_or(not err and contains(line, 'evicting region')) as evicted from l group by combo",
-    "corun_admission_whole": f"""
+    "corun_admission": f"""
         with recursive mix as (select c_custkey // {MIX} as workload, c_custkey as seq, 'q' || (c_custkey % 13) as query, c_custkey % 7 * 100000000 + 100000000 as bytes, row_number() over (partition by c_custkey // {MIX} order by c_custkey) as k from customer),
         go as (select k, workload, seq, query, bytes, bytes as total, 0 as batch from mix where k = 1
                union all select m.k, m.workload, m.seq, m.query, m.bytes, case when g.total + m.bytes > 1600000000 then m.bytes else g.total + m.bytes end, case when g.total + m.bytes > 1600000000 then g.batch + 1 else g.batch end

@@ -21,6 +21,7 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 N = "cast(count(*) as bigint) as n"
 CENTS = "cast(round(l_extendedprice * 100) as bigint)"
+_DAYS = "cast(sum(d) as bigint) as days, min(d) as lo, max(d) as hi"
 
 SHARED: dict[str, str] = {}
 PAIRS: dict[str, tuple[str, str]] = {}
@@ -38,7 +39,7 @@ SHARED |= {
     "scan_no_where": "select r_regionkey, r_name from region",
     "scan_star": "select * from nation",
     "scan_qualified_star": "select n.*, r.r_name from nation n, region r where n.n_regionkey = r.r_regionkey",
-    "project_alias": "select c_custkey as k, c_mktsegment as segment from customer where c_custkey < 100",
+    "project_alias": "select c_custkey as k, c_mktsegment as segment from customer",
     "project_constant": "select n_name, 7 as seven from nation",
     "case_insensitive": "SELECT N_NAME AS n_name FROM Nation WHERE n_REGIONKEY = 2",
     "select_distinct": "select distinct o_orderpriority, o_orderstatus from orders",
@@ -67,29 +68,30 @@ SHARED |= {
     "filter_text_with_angle": "select n_name, 'a < b > c' as t from nation where '<' <> '>' and n_nationkey < 3",
     "filter_long_literal": f"select {N} from part where p_name <> 'a literal that is a good deal longer than thirty-two bytes of text'",
     # --- expressions
-    "expr_arith": f"select l_orderkey, l_partkey, l_suppkey, l_linenumber, {CENTS} + 2 * l_linenumber - l_suppkey as x, ({CENTS} - l_partkey) * (l_linenumber + 1) as y from lineitem where l_orderkey < 200",
-    "expr_assoc": "select p_partkey, p_size - 5 + 3 - 1 as a, p_size * 6 / 4 as b from part where p_partkey < 50",
+    "expr_arith": f"select l_linenumber, cast(sum(x) as bigint) as x, min(x) as x_lo, max(x) as x_hi, cast(sum(y) as bigint) as y, min(y) as y_lo, max(y) as y_hi, {N} from (select l_linenumber, {CENTS} + 2 * l_linenumber - l_suppkey as x, ({CENTS} - l_partkey) * (l_linenumber + 1) as y from lineitem) e group by l_linenumber",
+    "expr_assoc": "select p_partkey, p_size - 5 + 3 - 1 as a, p_size * 6 / 4 as b from part",
     "expr_nested": f"select cast(sum(({CENTS} * (100 - cast(round(l_discount * 100) as bigint)) + l_linenumber) * 2) as bigint) as x from lineitem",
-    "expr_neg": "select p_partkey, -p_size as neg, +p_size as pos, p_size * -2 as twice from part where p_partkey < 50",
+    "expr_neg": "select p_partkey, -p_size as neg, +p_size as pos, p_size * -2 as twice from part",
     "expr_case": f"select case when l_quantity < 10 then 'few' when l_quantity < 30 then 'some' else 'many' end as how, {N} from lineitem group by case when l_quantity < 10 then 'few' when l_quantity < 30 then 'some' else 'many' end",
     "expr_case_simple": "select n_nationkey, case n_regionkey when 0 then 'zero' when 1 then 'one' end as r from nation",
-    "expr_cast": "select l_orderkey, l_linenumber, cast(l_quantity as integer) as q, cast(l_linenumber as varchar(10)) as t from lineitem where l_orderkey < 50",
+    "expr_cast": f"select cast(l_quantity as integer) as q, cast(l_linenumber as varchar(10)) as t, {N} from lineitem group by cast(l_quantity as integer), cast(l_linenumber as varchar(10))",
     "expr_concat": "select n_name || '/' || cast(n_regionkey as varchar(5)) as t from nation",
     "expr_scalar_subquery": "select p_partkey from part where p_retailprice > (select avg(p_retailprice) from part) and p_size = 7",
     "expr_coalesce": "select n_nationkey, coalesce(nullif(n_regionkey, 2), -1) as r from nation",
     # --- joins
     "join_inner": "select n_name, r_name from nation join region on n_regionkey = r_regionkey",
     "join_comma_n_way": f"select r_name, {N} from lineitem, orders, customer, nation, region where l_orderkey = o_orderkey and o_custkey = c_custkey and c_nationkey = n_nationkey and n_regionkey = r_regionkey group by r_name",
-    "join_left": f"select c_custkey, count(o_orderkey) as n from customer left outer join orders on c_custkey = o_custkey where c_custkey < 200 group by c_custkey",
-    "join_right": "select p_partkey, n_name from nation right outer join part on n_nationkey = p_size - 1 where p_partkey < 60",
+    "join_left": "select c_custkey, count(o_orderkey) as n from customer left outer join orders on c_custkey = o_custkey group by c_custkey",
+    "join_right": "select p_partkey, n_name from nation right outer join part on n_nationkey = p_size - 1",
     "join_full": "select a.n_name as a, b.p_size as b from (select n_nationkey, n_name from nation where n_nationkey > 3) a full outer join (select distinct p_size from part) b on a.n_nationkey = b.p_size",
     "join_cross": "select a.r_name as a, b.r_name as b from region a cross join region b",
     "join_using": "select n_name, cast(s as bigint) as s from nation join (select s_nationkey as n_nationkey, count(*) as s from supplier group by s_nationkey) using (n_nationkey)",
     "join_natural": "select n_name, k from nation natural join (select n_nationkey, n_regionkey, n_nationkey * 2 as k from nation where n_regionkey = 1)",
     "join_multikey": f"select {N} from lineitem a join (select distinct l_orderkey, l_linenumber from lineitem where l_returnflag = 'A') b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber",
     "join_self": "select a.n_name as a, b.n_name as b from nation a, nation b where a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey",
-    "join_theta": "select r.r_name, n.n_name from region r join nation n on n.n_regionkey > r.r_regionkey and n.n_nationkey < 10",
-    "join_duplicate_keys": f"select {N} from (select p_size as k from part) a join (select p_size as k from part where p_partkey < 300) b on a.k = b.k",
+    "join_theta": "select r.r_name, n.n_name from region r join nation n on n.n_regionkey > r.r_regionkey",
+    # every pair is counted; the build side repeats a key once a brand, with its rows as a number, so that the join stays linear
+    "join_duplicate_keys": "select cast(sum(b.c) as bigint) as n from (select p_size as k from part) a join (select p_size as k, p_brand, count(*) as c from part group by p_size, p_brand) b on a.k = b.k",
     "join_bushy": "select x.r_name, cast(sum(y.n) as bigint) as n from (select n_nationkey, r_name from nation join region on n_regionkey = r_regionkey) x join (select s_nationkey, count(*) as n from supplier join nation on s_nationkey = n_nationkey group by s_nationkey) y on x.n_nationkey = y.s_nationkey group by x.r_name",
     # --- aggregation
     "agg_sum": f"select l_returnflag, l_linestatus, cast(sum({CENTS}) as bigint) as cents from lineitem group by l_returnflag, l_linestatus",
@@ -141,10 +143,13 @@ PAIRS |= {
     "filter_is_nan": (f"select {N} from lineitem where l_discount is not nan", f"select {N} from lineitem where not isnan(l_discount)"),
     "filter_is_infinite": (f"select {N} from lineitem where l_discount is infinite", f"select {N} from lineitem where isinf(l_discount)"),
     "filter_likec": ("select n_name from nation where n_name likec '%_2'", "select n_name from nation where n_name like '%_2'"),
-    "expr_pow": ("select p_partkey, p_size ** 2 + 1 as x from part where p_partkey < 50", "select p_partkey, power(p_size, 2) + 1 as x from part where p_partkey < 50"),
-    "expr_div_int": ("select p_partkey, p_size div 7 as q, p_size % 7 as r from part where p_partkey < 80", "select p_partkey, cast(p_size // 7 as bigint) as q, p_size % 7 as r from part where p_partkey < 80"),
-    "expr_cast_dialect": ("select p_partkey, cast(p_retailprice as number(10, 2)) as d, cast(p_size as binary_double) as f, cast(p_brand as varchar2(20)) as t from part where p_partkey < 30", "select p_partkey, cast(p_retailprice as decimal(10, 2)) as d, cast(p_size as double) as f, p_brand as t from part where p_partkey < 30"),
-    "expr_interval": ("select o_orderkey, cast(extract(day from (o_orderdate - timestamp '1995-01-01 00:00:00') day to second) as bigint) as d from orders where o_orderkey < 50", "select o_orderkey, cast(date_diff('day', timestamp '1995-01-01 00:00:00', o_orderdate) as bigint) as d from orders where o_orderkey < 50"),
+    "expr_pow": ("select p_partkey, p_size ** 2 + 1 as x from part", "select p_partkey, power(p_size, 2) + 1 as x from part"),
+    "expr_div_int": ("select p_partkey, p_size div 7 as q, p_size % 7 as r from part", "select p_partkey, cast(p_size // 7 as bigint) as q, p_size % 7 as r from part"),
+    "expr_cast_dialect": ("select p_partkey, cast(p_retailprice as number(10, 2)) as d, cast(p_size as binary_double) as f, cast(p_brand as varchar2(20)) as t from part", "select p_partkey, cast(p_retailprice as decimal(10, 2)) as d, cast(p_size as double) as f, p_brand as t from part"),
+    "expr_interval": (
+        f"select o_orderstatus, {_DAYS} from (select o_orderstatus, cast(extract(day from (o_orderdate - timestamp '1995-01-01 00:00:00') day to second) as bigint) as d from orders) x group by o_orderstatus",
+        f"select o_orderstatus, {_DAYS} from (select o_orderstatus, cast(date_diff('day', timestamp '1995-01-01 00:00:00', o_orderdate) as bigint) as d from orders) x group by o_orderstatus",
+    ),
     "expr_quoted_name": ('select "n_name" as "n" from nation', "select n_name as n from nation"),
     "expr_sysdate": (f"select {N} from orders where o_orderdate < sysdate", f"select {N} from orders"),
     "agg_count_distinct_call": ("select l_returnflag, count_distinct(l_partkey) as n from lineitem group by l_returnflag", "select l_returnflag, count(distinct l_partkey) as n from lineitem group by l_returnflag"),
@@ -153,30 +158,31 @@ PAIRS |= {
     "trailing_semicolon": ("select r_name from region;", "select r_name from region"),
 }
 
-# --- operators over whole tables, where the texts above stop at a key
-_DAYS = "cast(sum(d) as bigint) as days, min(d) as lo, max(d) as hi"
+_MEANS = "round({sd}(l_quantity), 6) as sd, round({var}(l_quantity), 6) as var, round({sdp}(l_quantity), 6) as sd_all, round({varp}(l_quantity), 6) as var_all"
+_FITS = "round(corr(l_quantity, l_extendedprice), 6) as corr, round(covar_pop(l_quantity, l_discount), 6) as cov, round(covar_samp(l_quantity, l_discount), 6) as cov_samp, round(regr_slope(l_extendedprice, l_quantity), 4) as slope, round(regr_r2(l_extendedprice, l_quantity), 6) as r2, regr_count(l_extendedprice, l_quantity) as n"
 
 SHARED |= {
-    "project_alias_whole": "select c_custkey as k, c_mktsegment as segment from customer",
-    "expr_arith_whole": f"select l_linenumber, cast(sum(x) as bigint) as x, min(x) as x_lo, max(x) as x_hi, cast(sum(y) as bigint) as y, min(y) as y_lo, max(y) as y_hi, {N} from (select l_linenumber, {CENTS} + 2 * l_linenumber - l_suppkey as x, ({CENTS} - l_partkey) * (l_linenumber + 1) as y from lineitem) e group by l_linenumber",
-    "expr_assoc_whole": "select p_partkey, p_size - 5 + 3 - 1 as a, p_size * 6 / 4 as b from part",
-    "expr_neg_whole": "select p_partkey, -p_size as neg, +p_size as pos, p_size * -2 as twice from part",
-    "expr_cast_whole": f"select cast(l_quantity as integer) as q, cast(l_linenumber as varchar(10)) as t, {N} from lineitem group by cast(l_quantity as integer), cast(l_linenumber as varchar(10))",
-    "join_left_whole": "select c_custkey, count(o_orderkey) as n from customer left outer join orders on c_custkey = o_custkey group by c_custkey",
-    "join_right_whole": "select p_partkey, n_name from nation right outer join part on n_nationkey = p_size - 1",
-    "join_theta_whole": "select r.r_name, n.n_name from region r join nation n on n.n_regionkey > r.r_regionkey",
-    # every pair is counted; the build side repeats a key once a brand, with its rows as a number, so that the join stays linear
-    "join_duplicate_keys_whole": "select cast(sum(b.c) as bigint) as n from (select p_size as k from part) a join (select p_size as k, p_brand, count(*) as c from part group by p_size, p_brand) b on a.k = b.k",
+    # --- set operations and named subqueries
+    "set_union": "select c_nationkey as k from customer union select s_nationkey from supplier",
+    "set_union_all": f"select k, {N} from (select c_nationkey as k from customer union all select s_nationkey from supplier) x group by k",
+    "set_intersect": "select c_nationkey as k from customer intersect select s_nationkey from supplier",
+    "set_except": "select n_nationkey as k from nation except select s_nationkey from supplier where s_suppkey % 3 = 0",
+    "set_nested": "(select n_nationkey as k from nation where n_regionkey < 3 intersect select s_nationkey from supplier) union select n_nationkey from nation where n_regionkey = 4",
+    "with_one": f"with big as (select o_custkey, {N} from orders group by o_custkey) select n, count(*) as customers from big group by n",
+    "with_two": f"with a as (select c_nationkey as k, {N} from customer group by c_nationkey), b as (select n_name, n from a join nation on k = n_nationkey) select n_name, n from b where n > (select avg(n) from a)",
+    "limit_offset": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 7 offset 5",
+    # --- statistics
+    "agg_deviation": f"select l_returnflag, {_MEANS.format(sd='stddev', var='variance', sdp='stddev_pop', varp='var_pop')} from lineitem group by l_returnflag",
+    "agg_regression": f"select l_returnflag, {_FITS} from lineitem group by l_returnflag",
+    # --- windows, partitioned
+    "window_rank": "select c_nationkey, c_custkey, r from (select c_nationkey, c_custkey, rank() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as r from customer) x where r <= 3",
+    "window_running": f"select o_custkey, o_orderkey, cast(sum(cast(round(o_totalprice * 100) as bigint)) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and current row) as bigint) as cents from orders",
+    "window_neighbours": "select l_orderkey, l_linenumber, lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as before, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as after from lineitem",
+    "window_share": f"select n_regionkey, n_nationkey, row_number() over (partition by n_regionkey order by n_nationkey) as r, count(*) over (partition by n_regionkey) as n from nation",
 }
 
 PAIRS |= {
-    "expr_pow_whole": ("select p_partkey, p_size ** 2 + 1 as x from part", "select p_partkey, power(p_size, 2) + 1 as x from part"),
-    "expr_div_int_whole": ("select p_partkey, p_size div 7 as q, p_size % 7 as r from part", "select p_partkey, cast(p_size // 7 as bigint) as q, p_size % 7 as r from part"),
-    "expr_cast_dialect_whole": ("select p_partkey, cast(p_retailprice as number(10, 2)) as d, cast(p_size as binary_double) as f, cast(p_brand as varchar2(20)) as t from part", "select p_partkey, cast(p_retailprice as decimal(10, 2)) as d, cast(p_size as double) as f, p_brand as t from part"),
-    "expr_interval_whole": (
-        f"select o_orderstatus, {_DAYS} from (select o_orderstatus, cast(extract(day from (o_orderdate - timestamp '1995-01-01 00:00:00') day to second) as bigint) as d from orders) x group by o_orderstatus",
-        f"select o_orderstatus, {_DAYS} from (select o_orderstatus, cast(date_diff('day', timestamp '1995-01-01 00:00:00', o_orderdate) as bigint) as d from orders) x group by o_orderstatus",
-    ),
+    "set_minus": ("select n_nationkey as k from nation minus select s_nationkey from supplier", "select n_nationkey as k from nation except select s_nationkey from supplier"),
 }
 
 

@@ -10,7 +10,7 @@ from .schema import format_schema, parse_schema
 
 COMMANDS = {
     "create": "create NAME SCHEMA_FILE_TEXT: declare a database's tables",
-    "delete": "delete NAME: forget a database and its views",
+    "delete": "delete NAME: remove a database, its tables and its views",
     "list": "list: names of the databases",
     "restore": "restore NAME: register a database's loaded tables as views again",
     "load": "load NAME TABLE PATH: text file into the table's Parquet folder",
@@ -25,12 +25,21 @@ class Catalog:
         self.spark, self.root = spark, root.rstrip("/")
         self.databases: dict[str, dict[str, T.StructType]] = {}
 
+    def _at(self, *names: str):
+        """(file system, path) of something under the root, wherever Spark can reach it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *names]))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _stored(self, name: str) -> bool:
+        fs, path = self._at(name, "_schema_file")
+        return fs.exists(path)
+
     def create(self, name: str, schema_text: str) -> None:
-        if name in self.databases:
+        if name in self.databases or self._stored(name):
             raise ValueError(f"database {name} exists")
         self.databases[name] = parse_schema(schema_text)
         lines = [(i, x) for i, x in enumerate(format_schema(self.databases[name]).splitlines())]
-        self.spark.createDataFrame(lines, "i int, line string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}/_schema_file")
+        self.spark.createDataFrame(lines, "i int, line string").coalesce(1).write.parquet(f"{self.root}/{name}/_schema_file")
 
     def load(self, name: str, table: str, path: str, sep: str = "|", sort_by: str | None = None) -> DataFrame:
         df = load_table(self.spark, self.databases[name], table, path, f"{self.root}/{name}/{table.upper()}", sep, sort_by)
@@ -54,11 +63,18 @@ class Catalog:
         return found
 
     def delete(self, name: str) -> None:
-        for table in self.databases.pop(name):
+        if name not in self.databases and not self._stored(name):
+            raise KeyError(name)
+        for table in self.databases.pop(name, ()):
             self.spark.catalog.dropTempView(table)
+        fs, path = self._at(name)
+        fs.delete(path, True)
 
     def list(self) -> list[str]:
-        return sorted(self.databases)
+        """Databases of this session and those that others left under the root."""
+        fs, path = self._at()
+        found = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted({*self.databases, *(n for n in found if self._stored(n))})
 
     def help(self) -> str:
         return "\n".join(COMMANDS.values())

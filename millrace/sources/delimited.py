@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = "|") -> DataFrame:
-    """Columns of ``schema``; the empty column after the closing delimiter is dropped. Malformed numbers become null."""
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = "|", strict: bool = False, bad_rows: str | None = None) -> DataFrame:
+    """Columns of ``schema``; the empty column after the closing delimiter is dropped.
+
+    Malformed numbers become null; ``bad_rows`` names a further column that holds
+    the line of such a row (null for others), and ``strict`` fails on the first.
+    """
     if len(sep) != 1:
         raise ValueError("the delimiter is one character")
     padded = T.StructType([*schema.fields, T.StructField("_closing", T.StringType(), True)])
-    return spark.read.csv(path, schema=padded, sep=sep, quote="", escape="", mode="PERMISSIVE", enforceSchema=True).drop("_closing")
+    options = {"mode": "FAILFAST" if strict else "PERMISSIVE"}
+    if bad_rows and not strict:
+        padded = padded.add(bad_rows, T.StringType())
+        options["columnNameOfCorruptRecord"] = bad_rows
+    return spark.read.csv(path, schema=padded, sep=sep, quote="", escape="", enforceSchema=True, **options).drop("_closing")
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "|") -> None:

@@ -31,6 +31,15 @@ def test_delimited_round_trip_and_sorted_load(spark, tmp_path):
         delimited.read_delimited(spark, str(tmp_path), tables["SHOP"], "||")
 
 
+def test_malformed_numbers_can_be_seen_or_fail(spark, tmp_path):
+    (tmp_path / "item.tbl").write_text("1|nut|\nx2|bolt|\n")
+    item = schema.parse_schema(TEXT)["ITEM"]
+    got = {r["I_NAME"]: (r["I_KEY"], r["bad"]) for r in delimited.read_delimited(spark, f"{tmp_path}/item.tbl", item, bad_rows="bad").collect()}
+    assert got == {"nut": (1, None), "bolt": (None, "x2|bolt|")}
+    with pytest.raises(Exception, match="x2|MALFORMED"):
+        delimited.read_delimited(spark, f"{tmp_path}/item.tbl", item, strict=True).collect()
+
+
 def test_catalog(spark, tmp_path):
     (tmp_path / "item.tbl").write_text("1|nut|\n2|bolt|\n")
     cat = Catalog(spark, f"{tmp_path}/db")
@@ -39,8 +48,11 @@ def test_catalog(spark, tmp_path):
     again = Catalog(spark, f"{tmp_path}/db")
     assert again.restore("d1") == ["ITEM"] and again.list() == ["d1"]
     assert spark.sql("select I_NAME from item where I_KEY = 2").first()[0] == "bolt"
+    with pytest.raises(ValueError):
+        Catalog(spark, f"{tmp_path}/db").create("d1", TEXT)  # another session's
+    assert Catalog(spark, f"{tmp_path}/db").list() == ["d1"]
     again.delete("d1")
-    assert again.list() == [] and "create" in again.help()
+    assert again.list() == [] and not (tmp_path / "db" / "d1").exists() and "create" in again.help()
 
 
 def test_generator_is_the_same_however_partitioned(spark):

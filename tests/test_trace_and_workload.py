@@ -60,6 +60,36 @@ def test_timeline_peak_usage_and_copies(rows):
     assert abs(T.utilisation(line, T.copy_spans(rows).select("query", "begin", "end", "bytes")).first()["utilisation"] - 64 * 3 / (256 + 512 * 16)) < 1e-12
 
 
+def test_allocated_bytes_balance_with_a_double_free(spark):
+    row = lambda i, api, a, n=None: ("q", i, i, "intercepted", api, a, n, None, None)
+    lines = [row(0, "cudaMalloc", 8, 100), row(1, "cudaMalloc", 16, 7), row(2, "cudaFree", 8), row(3, "cudaFree", 8), row(4, "cudaFree", 16), row(5, "cudaFree", 24)]
+    trace = spark.createDataFrame(lines, "query string, idx long, ts long, phase string, api string, addr long, bytes long, kind int, arg long")
+    got = sorted((r["idx"], r["before"], r["after"]) for r in T.timeline(trace, block=2).collect())
+    assert got == [(0, 0, 100), (0, 100, 200), (1, 200, 207), (2, 207, 107), (3, 107, 7), (4, 7, 0)]
+    area = T.areas(T.timeline(trace), block=2).first()
+    assert (int(area["area"]), area["span"]) == (200 + 207 + 107 + 7, 4)
+
+
+def test_allocated_bytes_are_never_negative(spark):
+    line = T.timeline(T.from_events(spark.read.parquet("/root/testdata/sf0.01/events.parquet")), block=500)
+    low = line.groupBy("query").agg(F.min("after").alias("lo"), F.min("before").alias("first"), F.max_by("after", "idx").alias("end")).collect()
+    assert all((r["lo"], r["first"], r["end"]) == (0, 0, 0) for r in low)
+
+
+def test_blocks_hand_on_their_borders(spark, rows):
+    events = T.from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    for f in (T.copy_spans, T.gantt, T.kernel_usage, T.regions, lambda t, block: T.areas(T.timeline(t), block=block)):
+        for trace in (rows, events):
+            few, one = (sorted(map(tuple, f(trace, block=b).collect()), key=repr) for b in (7, 1 << 40))
+            assert few == one
+
+
+def test_lines_are_read_as_written(rows):
+    back = T.parse_lines(T.to_lines(rows))
+    same = lambda df: sorted((tuple(r) for r in df.filter("api <> 'cudaConfigureCall' and (api <> 'cudaSetupArgument' or arg is not null)").collect()), key=repr)
+    assert same(back) == same(rows)
+
+
 def test_gantt_fills_gaps(rows):
     spans = sorted((r["class"], r["begin"], r["end"]) for r in T.gantt(rows).collect())
     assert [s for s in spans if s[0] != 5] == [(0, 5, 8), (2, 12, 19), (4, 0, 1), (4, 3, 4)]

@@ -19,16 +19,16 @@ def run(spark):
 
 def test_solo_averages_are_of_all_orders(run):
     want = duckdb.sql(f"select 'q' || (o_orderkey % 12 % 4), avg(o_totalprice) from {table('orders')} where o_orderkey // 12 % 9 > 0 group by all").fetchall()
-    assert {r["query"]: r["solo_ms"] for r in run("corun_solo_avg_whole").collect()} == pytest.approx(dict(want), abs=1e-5)
+    assert {r["query"]: r["solo_ms"] for r in run("corun_solo_avg").collect()} == pytest.approx(dict(want), abs=1e-5)
 
 
 def test_a_crash_in_a_late_order_leaves_its_combination_out(run):
     late = duckdb.sql(f"select distinct 'c' || (o_orderkey % 12) from {table('orders')} where o_orderkey % 12 = 5 and o_orderstatus = 'P'").fetchall()
-    assert late and {r["combo"] for r in run("corun_speedup_whole").collect()} == {f"c{i}" for i in range(12)} - {x for x, in late}
+    assert late and {r["combo"] for r in run("corun_speedup").collect()} == {f"c{i}" for i in range(12)} - {x for x, in late}
 
 
 def test_every_customer_is_admitted_in_a_bounded_workload(run):
-    rows = run("corun_admission_whole").collect()
+    rows = run("corun_admission").collect()
     keys = {x for x, in duckdb.sql(f"select c_custkey from {table('customer')}").fetchall()}
     assert len(rows) == len(keys) and {r["seq"] for r in rows} == keys and max(keys) >= 150
     of, total = {}, {}
@@ -52,17 +52,17 @@ def test_every_customer_is_admitted_in_a_bounded_workload(run):
 ])
 def test_operator_reaches_every_row(run, name, rows):
     of = {t: table(t) for t in ("customer", "part", "nation", "region", "orders")}
-    assert run(f"{name}_whole").count() == duckdb.sql(rows.format(**of)).fetchall()[0][0]
+    assert run(f"{name}").count() == duckdb.sql(rows.format(**of)).fetchall()[0][0]
 
 
 def test_aggregated_operators_count_every_row(run):
     n = duckdb.sql(f"select count(*) from {table('lineitem')}").fetchall()[0][0]
-    for name in ("expr_arith_whole", "expr_cast_whole"):
+    for name in ("expr_arith", "expr_cast"):
         assert sum(r["n"] for r in run(name).collect()) == n
     days = duckdb.sql(f"select cast(sum(date_diff('day', timestamp '1995-01-01', o_orderdate)) as bigint) from {table('orders')}").fetchall()[0][0]
-    assert sum(r["days"] for r in run("expr_interval_whole").collect()) == days
+    assert sum(r["days"] for r in run("expr_interval").collect()) == days
 
 
 def test_duplicate_keys_count_every_pair(run):
     want = duckdb.sql(f"select count(*) from {table('part')} a join {table('part')} b on a.p_size = b.p_size").fetchall()[0][0]
-    assert run("join_duplicate_keys_whole").first()["n"] == want
+    assert run("join_duplicate_keys").first()["n"] == want
