@@ -45,10 +45,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         several = cut(groups.filter("n > 1").withColumn("next", F.monotonically_increasing_id()))
         tagged = several.select(F.col("grp").alias("g"), F.col("digit").alias("d"), F.col("ended").alias("e"), "n", "keep_id", "next")
         met = keyed.join(tagged.hint("merge"), (F.col("grp") == F.col("g")) & (F.col("digit") == F.col("d")) & (F.col("ended") == F.col("e")), "left")
-        done.append(met.filter("n is null or ended").select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "text_sha256"))
+        decided = F.col("n").isNull() | F.col("ended")
+        # written once: what is decided with its answer, the rest with its bytes
+        level = staged(met.select(
+            "doc_id", "text_sha256", decided.alias("decided"), F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+            F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("next").alias("grp"), F.when(~decided, F.col("rest")).alias("rest"),
+        ), "radix")
+        done.append(level.filter("decided").select("doc_id", "keep_id", "group_size", "text_sha256"))
         if not several.filter("not ended").head(1):
             break
-        rows = staged(met.filter("n is not null and not ended").select("doc_id", "text_sha256", F.col("next").alias("grp"), "rest"), "radix")
+        rows = level.filter("not decided").select("doc_id", "text_sha256", "grp", "rest")
         width *= GROWTH
     out = done[0]
     for part in done[1:]:
