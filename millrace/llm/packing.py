@@ -172,6 +172,10 @@ def pack(pieces_df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     The places of a length are numbered through all bins; piece number r of that
     length takes place r. Piece numbers come from counts by (part, length), so
     a length that a third of all pieces share is no hot group.
+
+    Defined cases: pieces of one length are alike, so ties go by (part, nth);
+    ids may be null or repeat, further columns pass through; an empty table
+    gives an empty result. Lengths are 1 to ``capacity``.
     """
     pieces_df = staged(pieces_df, "pieces")
     by_part = pieces_df.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
