@@ -182,6 +182,14 @@ SHARED |= {
 }
 
 PAIRS |= {
+    "join_outer_sign": (
+        "select c.c_custkey, o.o_orderkey, n_name from customer c, orders o, nation n where c.c_custkey = o.o_custkey(+) and o.o_totalprice (+) between 300000 and 400000 and n.n_nationkey = c.c_nationkey and c.c_acctbal > 0",
+        "select c.c_custkey, o.o_orderkey, n_name from customer c join nation n on n.n_nationkey = c.c_nationkey left join orders o on c.c_custkey = o.o_custkey and o.o_totalprice between 300000 and 400000 where c.c_acctbal > 0",
+    ),
+    "expr_time_zone": (
+        f"select extract(hour from (o_orderdate at time zone '-05:00')) as h, cast(sum(extract(day from o_orderdate at time zone '-05:00')) as bigint) as days, {N} from orders group by extract(hour from (o_orderdate at time zone '-05:00'))",
+        f"select cast(hour(o_orderdate - interval 5 hour) as integer) as h, cast(sum(day(o_orderdate - interval 5 hour)) as bigint) as days, {N} from orders group by hour(o_orderdate - interval 5 hour)",
+    ),
     "set_minus": ("select n_nationkey as k from nation minus select s_nationkey from supplier", "select n_nationkey as k from nation except select s_nationkey from supplier"),
 }
 
