@@ -1,8 +1,8 @@
-"""Run-length and dictionary encodings, filters on encoded data, prefix sums.
+"""Run-length and dictionary encodings, filters and joins on encoded data, prefix sums.
 
 Parquet encodes pages this way by itself; these transforms make the encodings
-visible as tables. Runs are kept within blocks of the order column, so that no
-step sorts a whole table in one task.
+visible as tables. Windows run over blocks of the order column that hand on
+their borders, so that no step sorts a whole table in one task.
 """
 
 from __future__ import annotations
@@ -14,12 +14,15 @@ BLOCK = 1 << 20
 
 
 def rle_encode(df: DataFrame, order: str, value: str, block: int = BLOCK) -> DataFrame:
-    """``block, pos, value, run_length``: runs of equal values along ``order`` (unique), cut at block borders; nulls are equal."""
-    rows = df.select(F.floor(F.col(order) / block).cast("long").alias("block"), F.col(order).alias("pos"), F.col(value).alias("value"))
-    w = Window.partitionBy("block").orderBy("pos")
-    starts = (F.row_number().over(w) == 1) | ~F.col("value").eqNullSafe(F.lag("value").over(w))
-    runs = rows.withColumn("start", starts.cast("int")).withColumn("run", F.sum("start").over(w))
-    return runs.groupBy("block", "run").agg(F.min("pos").alias("pos"), F.min("value").alias("value"), F.count(F.lit(1)).alias("run_length")).select("block", "pos", "value", "run_length")
+    """``pos, value, run_length``: runs of equal values along ``order`` (unique, numeric); nulls are equal.
+
+    A row starts a run if the one before it differs; runs are numbered by a
+    running sum of starts and may span any number of blocks.
+    """
+    rows = carried(df.select(F.col(order).alias("pos"), F.col(value).alias("value")), "pos", F.struct("value"), "last", block=block)
+    start = F.when(F.col("last").isNull() | ~F.col("value").eqNullSafe(F.col("last.value")), 1).otherwise(0)
+    runs = prefix_sum(rows.select("pos", "value", start.alias("start")), "pos", "start", block=block, name="run")
+    return runs.groupBy("run").agg(F.min("pos").alias("pos"), F.min("value").alias("value"), F.count(F.lit(1)).alias("run_length")).select("pos", "value", "run_length")
 
 
 def rle_decode(runs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import encoding as E
 from ..operators import trace as T
 from ..sources import delimited, ssbgen
 from ..sources.schema import parse_schema
+from ..streaming import timeline as S
 from . import workload as W
 
 BLOCK = 1000
@@ -177,6 +178,28 @@ def trace_regions(s, d):
     return T.regions(_trace(s, d))
 
 
+# --- streams: the tables read as streams to their end
+
+
+def _events(s, d):
+    """As a stream; the pattern also takes a table that is a single file, which a plain stream path must not be."""
+    return s.readStream.schema(_t(s, d, "events").schema).parquet(f"{d}/events.parque[t]")
+
+
+def stream_windowed_counts(s, d):
+    name = f"windowed_{uuid.uuid4().hex}"
+    counts = S.windowed_counts(_events(s, d)).writeStream.format("memory").queryName(name).outputMode("complete")  # a row a window and type
+    counts.option("checkpointLocation", _scratch(s)).trigger(availableNow=True).start().awaitTermination()
+    return s.table(name).select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def stream_live_bytes(s, d):
+    at = _scratch(s)
+    live = S.live_bytes(T.from_events(_events(s, d))).writeStream.format("parquet").option("path", f"{at}/live").outputMode("append")
+    live.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(S.LIVE).parquet(f"{at}/live")
+
+
 # --- workloads: the orders stand for recorded runs, the customers for queries to admit
 
 
@@ -264,11 +287,11 @@ runs as (select 'c' || (o_orderkey % 12) as combo, 'q' || (o_orderkey % 12 % 4)
                 case when o_orderkey % 12 = 5 and o_orderstatus = 'P' then 'boom' else '' end as error from orders),
 solo as (select split_part(query, '#', 1) as query, avg(total_ms) as solo_ms from runs where run_no > 1 group by all)
 """
-_RLE = f"""
-typed as (select event_id, event_id // {BLOCK} as block, cast(floor(value / 40) as integer) as v from events),
-marked as (select *, case when lag(v) over w is distinct from v or row_number() over w = 1 then 1 else 0 end as s from typed window w as (partition by block order by event_id)),
-numbered as (select *, sum(s) over (partition by block order by event_id) as run from marked),
-rle as (select block, min(event_id) as pos, min(v) as value, count(*) as run_length from numbered group by block, run)
+_RLE = """
+typed as (select event_id, cast(floor(value / 40) as integer) as v from events),
+marked as (select *, case when lag(v) over w is distinct from v or row_number() over w = 1 then 1 else 0 end as s from typed window w as (order by event_id)),
+numbered as (select *, sum(s) over (order by event_id) as run from marked),
+rle as (select min(event_id) as pos, min(v) as value, count(*) as run_length from numbered group by run)
 """
 _DICT = "codes as (select value, row_number() over (order by value) - 1 as code from (select distinct p_brand as value from part where p_brand is not null))"
 
@@ -302,6 +325,9 @@ ORACLES = {
     "trace_gantt": _of_trace("select * from ga"),
     "trace_class_stats": _of_trace('select class, count(*) as n, cast(sum("end" - "begin") as bigint) as total, round(avg("end" - "begin"), 4) as mean, min("end" - "begin") as least, max("end" - "begin") as most, quantile_cont(cast("end" - "begin" as double), 0.25) as q1, quantile_cont(cast("end" - "begin" as double), 0.5) as median, quantile_cont(cast("end" - "begin" as double), 0.75) as q3 from ga group by class'),
     "trace_regions": _of_trace("select query, addr, size, cast(coalesce(sum(size + 10) over (partition by query order by addr rows between unbounded preceding and 1 preceding), 0) + 10 as bigint) as base from (select query, addr, max(bytes) as size from tr where api = 'cudaMalloc' and phase = 'intercepted' group by all)"),
+    "stream_windowed_counts": "select cast(epoch(date_trunc('hour', ts)) as bigint) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all",
+    "stream_live_bytes": _of_trace(""", st as (select query, addr, idx, ts, case when api = 'cudaMalloc' then bytes else 0 end as live, lag(case when api = 'cudaMalloc' then bytes else 0 end, 1, 0) over (partition by query, addr order by idx) as had from mf)
+        select query, idx, ts, cast(sum(live - had) over (partition by query order by idx rows unbounded preceding) as bigint) as bytes_live from st"""),
     "corun_solo_avg": f"with {_RUNS} select query, round(solo_ms, 6) as solo_ms from solo",
     "corun_stats": f"with {_RUNS} select combo, query, round(avg(total_ms), 6) as corun_ms from runs where run_no between 2 and 6 group by all",
     "corun_speedup": f"with {_RUNS}, st as (select combo, query, avg(total_ms) as ms from runs where run_no between 2 and 4 and combo not in (select combo from runs where error <> '') group by all) select combo, round(sum(solo_ms / ms), 9) as speedup from st join solo on split_part(st.query, '#', 1) = solo.query group by combo",

@@ -40,5 +40,10 @@ def live_bytes(trace: DataFrame) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """``start, event_type, n, total`` by tumbling windows of event time; rows later than the watermark are dropped by the engine."""
+    """``start, event_type, n, total`` by tumbling windows of event time; rows later than the watermark are dropped by the engine.
+
+    A time without a zone counts as UTC, whatever the session's zone.
+    """
+    if dict(events.dtypes)["ts"] == "timestamp_ntz":
+        events = events.withColumn("ts", F.concat(F.col("ts").cast("string"), F.lit("+00:00")).cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
