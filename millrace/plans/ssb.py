@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.star import StarQuery
-from ..sources.ssbgen import calendar
+from ..sources.ssbgen import calendar, day_columns
 
 
 @dataclass(frozen=True)
@@ -62,15 +62,25 @@ SPECS = {
 KEYS = {"customer": ("customer_ssb", "lo_custkey", "c_custkey"), "supplier": ("supplier_ssb", "lo_suppkey", "s_suppkey"), "part": ("part_ssb", "lo_partkey", "p_partkey"), "date": ("ddate", "lo_orderdate", "d_datekey")}
 
 
-class _Tables(dict):
-    """Parquet tables of a folder, opened when first asked for, under the conditions of ``scan``."""
+class Tables(dict):
+    """Parquet tables of a folder, opened when first asked for. Kept, they are a catalog: later queries don't read the files' schemas again."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, scan: tuple[tuple[str, str], ...] = ()):
-        self.spark, self.sf_dir, self.scan = spark, sf_dir, dict(scan)
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
     def __missing__(self, name: str) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        self[name] = rows.filter(self.scan[name]) if name in self.scan else rows
+        self[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self[name]
+
+
+class _Scans(dict):
+    """Tables under the conditions of a spec's ``scan``."""
+
+    def __init__(self, tables: Tables, scan: tuple[tuple[str, str], ...]):
+        self.tables, self.scan = tables, dict(scan)
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.tables[name].filter(self.scan[name]) if name in self.scan else self.tables[name]
         return self[name]
 
 
@@ -79,20 +89,22 @@ class Views(dict):
 
     NAMES = ("lineorder", "lineorder_cost", "customer_ssb", "supplier_ssb", "part_ssb", "ddate")
 
-    def __init__(self, spark: SparkSession, sf_dir: str, scan: tuple[tuple[str, str], ...] = ()):
-        self.spark, self.t = spark, _Tables(spark, sf_dir, scan)
+    def __init__(self, spark: SparkSession, sf_dir: str, scan: tuple[tuple[str, str], ...] = (), tables: Tables | None = None):
+        self.spark, self.t = spark, _Scans(Tables(spark, sf_dir) if tables is None else tables, scan)
 
     def __missing__(self, name: str) -> DataFrame:
         self[name] = _view(self.spark, self.t, self, name)
         return self[name]
 
 
-def _view(spark: SparkSession, t: _Tables, v: Views, name: str) -> DataFrame:
+def _view(spark: SparkSession, t: _Scans, v: Views, name: str) -> DataFrame:
     cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
     if name == "lines":
         return t["lineitem"].select(F.col("l_orderkey").alias("lo_orderkey"), F.col("l_linenumber").alias("lo_linenumber"), F.col("l_partkey").alias("lo_partkey"), F.col("l_suppkey").alias("lo_suppkey"), F.col("l_quantity").cast("int").alias("lo_quantity"), F.round(F.col("l_discount") * 100).cast("int").alias("lo_discount"), F.round(F.col("l_tax") * 100).cast("int").alias("lo_tax"), cents("l_extendedprice").alias("lo_extendedprice")).withColumn("lo_revenue", F.col("lo_extendedprice") * (100 - F.col("lo_discount")))
     if name == "heads":
         return t["orders"].select("o_orderkey", F.col("o_custkey").alias("lo_custkey"), (F.year("o_orderdate") * 10000 + F.month("o_orderdate") * 100 + F.dayofmonth("o_orderdate")).alias("lo_orderdate"), F.col("o_orderpriority").alias("lo_orderpriority"))
+    if name == "dated":  # the date dimension is a function of the day, so its columns are made in place
+        return t["orders"].filter("o_orderdate is not null").select("*", F.col("o_orderdate").cast("date").alias("day")).select("o_orderkey", F.col("o_custkey").alias("lo_custkey"), *day_columns())
     if name == "lineorder":
         return v["lines"].join(v["heads"], F.col("lo_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
     if name == "lineorder_cost":  # only queries with a supply cost join the parts for it
@@ -121,19 +133,18 @@ def _needs_cost(spec: Spec) -> bool:
     return "lo_supplycost" in spec.measure
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str, prefilter: bool = False) -> DataFrame:
+def frame(spark: SparkSession, sf_dir: str, name: str, prefilter: bool = False, tables: Tables | None = None) -> DataFrame:
     """A query through the builder: lines and orders are each cut by their dimensions, then joined."""
     spec = SPECS[name]
-    v = Views(spark, sf_dir, spec.scan)
+    v = Views(spark, sf_dir, spec.scan, tables)
     lines = StarQuery(v["lines"], keys=spec.keys, prefilter=prefilter).where(F.expr(spec.fact))
-    heads = StarQuery(v["heads"], keys=spec.keys, prefilter=prefilter)
+    heads = StarQuery(v["dated"], keys=spec.keys, prefilter=prefilter).where(F.expr(spec.date))
     if spec.supplier:
         lines = lines.join(v["supplier_ssb"], "lo_suppkey", "s_suppkey", F.expr(spec.supplier))
     if spec.part or _needs_cost(spec):
         lines = lines.join(v["part_cost"], "lo_partkey", "p_partkey", F.expr(spec.part or "true"), take=("lo_supplycost",) if _needs_cost(spec) else ())
     if spec.customer:
         heads = heads.join(v["customer_ssb"], "lo_custkey", "c_custkey", F.expr(spec.customer))
-    heads = heads.join(F.broadcast(v["ddate"]), "lo_orderdate", "d_datekey", F.expr(spec.date))  # at most one row a day of the calendar
     fact = lines.joined().join(heads.joined(), F.col("lo_orderkey") == F.col("o_orderkey"))
     q = StarQuery(fact).group_by(*spec.keys).agg(F.sum(F.expr(spec.measure)).cast("bigint").alias(spec.name))
     return q.order_by(*[F.col(c).asc() if up else F.col(c).desc() for c, up in spec.order]).build()

@@ -6,7 +6,7 @@ partitioned, and partitions can be made in parallel and again after a failure.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The benchmark's regions, priorities, ship modes, segments and rows per scale factor.
@@ -34,7 +34,12 @@ def dates(spark: SparkSession, start: str = "1992-01-01", days: int = 2557) -> D
 
 def calendar(days: DataFrame) -> DataFrame:
     """The date dimension of the dates in the column ``day``."""
-    return days.select(
+    return days.select(*day_columns())
+
+
+def day_columns() -> list[Column]:
+    """The date dimension's columns, as functions of the column ``day``."""
+    return [
         F.date_format("day", "yyyyMMdd").cast("int").alias("d_datekey"),
         F.date_format("day", "MMMM d, yyyy").alias("d_date"),
         F.date_format("day", "EEEE").alias("d_dayofweek"),
@@ -52,7 +57,7 @@ def calendar(days: DataFrame) -> DataFrame:
         (F.last_day("day") == F.col("day")).cast("int").alias("d_lastdayinmonthfl"),
         (F.date_format("day", "MMdd").isin("0101", "1225")).cast("int").alias("d_holidayfl"),
         F.dayofweek("day").between(2, 6).cast("int").alias("d_weekdayfl"),
-    )
+    ]
 
 
 def customer(spark: SparkSession, sf: float) -> DataFrame:
