@@ -184,11 +184,17 @@ def class_stats(spans: DataFrame) -> DataFrame:
 
 
 def footprint_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``query, ts, mb`` of lines ``[gvm] time MEMSIZE bytes seconds``; ts in milliseconds from the first."""
+    """``query, ts, mb`` of the files' lines ``[gvm] time MEMSIZE bytes seconds``; the file name without its ending is the query."""
     lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("query"), F.explode(F.split("value", "\n")).alias("value"))
+    return footprint(lines)
+
+
+def footprint(lines: DataFrame) -> DataFrame:
+    """``query, ts, mb`` of ``query, value``; ts in milliseconds from the query's first, other lines dropped."""
     w = F.split("value", r"\s+")
     rows = lines.filter(F.col("value").rlike(r"^\[gvm\]\s+\S+\s+MEMSIZE\s")).select("query", (F.get(w, F.lit(4)).cast("double") * 1000).alias("t"), (F.get(w, F.lit(3)).cast("double") / 1e6).alias("mb"))
-    return rows.select("query", (F.col("t") - F.min("t").over(Window.partitionBy("query"))).alias("ts"), "mb")
+    first = rows.groupBy("query").agg(F.min("t").alias("first"))
+    return rows.join(first, "query").select("query", (F.col("t") - F.col("first")).alias("ts"), "mb")
 
 
 def regions(trace: DataFrame, gap: int = 10, block: int = 1 << 30) -> DataFrame:

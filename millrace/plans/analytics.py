@@ -11,6 +11,7 @@ from ..functions import predicates as P
 from ..operators import encoding as E
 from ..operators import trace as T
 from ..sources import delimited, ssbgen
+from ..sources.catalog import Catalog
 from ..sources.schema import parse_schema
 from ..streaming import timeline as S
 from . import workload as W
@@ -94,6 +95,16 @@ def source_delimited(s, d):
     return delimited.load_table(s, tables, "customer", f"{at}/text", f"{at}/customer", sort_by="C_KEY").select("C_KEY", "C_NAME", F.col("C_BALANCE").cast("double").alias("C_BALANCE"))
 
 
+def source_catalog(s, d):
+    at = _scratch(s)
+    delimited.write_delimited(_t(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), f"{at}/text")
+    mine = Catalog(s, f"{at}/databases")
+    mine.create("places", "PLACE|P_KEY:INTEGER|P_NAME:TEXT:25|P_REGION:INTEGER")
+    mine.load("places", "place", f"{at}/text")
+    Catalog(s, f"{at}/databases").restore("places")  # as another session would
+    return s.table("place")
+
+
 def gen_dates(s, d):
     return ssbgen.dates(s).select("d_datekey", "d_year", "d_yearmonthnum", "d_daynuminmonth", "d_daynuminyear", "d_monthnuminyear", "d_weeknuminyear", "d_lastdayinmonthfl")
 
@@ -174,6 +185,13 @@ def trace_class_stats(s, d):
     return T.class_stats(T.gantt(_trace(s, d), block=BLOCK)).withColumn("mean", F.round("mean", 4))
 
 
+def trace_footprint(s, d):
+    calls = _trace(s, d).filter("api = 'cudaMalloc' and phase = 'intercepted'")
+    seconds = F.format_string("%d.%06d", F.expr("ts % 1000000000 div 1000000"), F.col("ts") % 1_000_000)
+    lines = calls.select("query", F.concat(F.lit("[gvm] 0 MEMSIZE "), F.col("bytes").cast("string"), F.lit(" "), seconds).alias("value"))
+    return T.footprint(lines).select("query", F.round("ts", 3).alias("ts"), "mb")
+
+
 def trace_regions(s, d):
     return T.regions(_trace(s, d))
 
@@ -224,6 +242,12 @@ def corun_speedup(s, d):
     return W.weighted_speedup(_runs(s, d), _solo(s, d)).select("combo", F.round("speedup", 9).alias("speedup"))
 
 
+def corun_context(s, d):
+    at = _scratch(s)
+    W.save_context(_runs(s, d), at)
+    return W.restore_context(s, at)
+
+
 def corun_crashes(s, d):
     o = _t(s, d, "orders")
     lines = o.select(F.concat(F.lit("c"), (F.col("o_orderkey") % 12).cast("string")).alias("combo"), F.when(F.col("o_orderkey") % 2 == 0, "error").otherwise("trace").alias("stream"), F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("evicting region "), F.col("o_orderstatus"))).otherwise("").alias("line"))
@@ -305,6 +329,7 @@ ORACLES = {
     "enc_dict_join": "select p_partkey, count(*) over (partition by p_brand) as n from part",
     "enc_rle_join": "select n_name, count(*) as n from events join nation on cast(floor(value / 40) as integer) = n_nationkey group by n_name",
     "source_delimited": "select cast(c_custkey as integer) as C_KEY, c_name as C_NAME, cast(cast(c_acctbal as decimal(18, 2)) as double) as C_BALANCE from customer",
+    "source_catalog": "select n_nationkey as P_KEY, n_name as P_NAME, n_regionkey as P_REGION from nation",
     "gen_dates": "select cast(strftime(t, '%Y%m%d') as integer) as d_datekey, cast(year(t) as integer) as d_year, cast(year(t) * 100 + month(t) as integer) as d_yearmonthnum, cast(day(t) as integer) as d_daynuminmonth, cast(dayofyear(t) as integer) as d_daynuminyear, cast(month(t) as integer) as d_monthnuminyear, cast(week(t) as integer) as d_weeknuminyear, cast(last_day(t) = t as integer) as d_lastdayinmonthfl from (select cast(date '1992-01-01' + cast(i as integer) as date) as t from range(2557) r(i)) x",
     "trace_parse": _of_trace("select query, idx, ts, phase, api, addr, bytes, kind, arg from tr"),
     "scan_prefix_sum": "select event_id, cast(round(value * 100) as bigint) as cents, cast(sum(cast(round(value * 100) as bigint)) over (order by event_id) as bigint) as prefix from events",
@@ -324,6 +349,7 @@ ORACLES = {
     "trace_utilisation": _of_trace('select ar.query, round(cast(coalesce(work, 0) as double) / area, 12) as utilisation from ar left join (select query, sum(cast(bytes as hugeint) * ("end" - "begin")) as work from cs group by query) b on ar.query = b.query'),
     "trace_gantt": _of_trace("select * from ga"),
     "trace_class_stats": _of_trace('select class, count(*) as n, cast(sum("end" - "begin") as bigint) as total, round(avg("end" - "begin"), 4) as mean, min("end" - "begin") as least, max("end" - "begin") as most, quantile_cont(cast("end" - "begin" as double), 0.25) as q1, quantile_cont(cast("end" - "begin" as double), 0.5) as median, quantile_cont(cast("end" - "begin" as double), 0.75) as q3 from ga group by class'),
+    "trace_footprint": _of_trace("select query, round((ts % 1000000000 - min(ts % 1000000000) over (partition by query)) / 1000.0, 3) as ts, bytes / 1e6 as mb from tr where api = 'cudaMalloc' and phase = 'intercepted'"),
     "trace_regions": _of_trace("select query, addr, size, cast(coalesce(sum(size + 10) over (partition by query order by addr rows between unbounded preceding and 1 preceding), 0) + 10 as bigint) as base from (select query, addr, max(bytes) as size from tr where api = 'cudaMalloc' and phase = 'intercepted' group by all)"),
     "stream_windowed_counts": "select cast(epoch(date_trunc('hour', ts)) as bigint) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all",
     "stream_live_bytes": _of_trace(""", st as (select query, addr, idx, ts, case when api = 'cudaMalloc' then bytes else 0 end as live, lag(case when api = 'cudaMalloc' then bytes else 0 end, 1, 0) over (partition by query, addr order by idx) as had from mf)
@@ -331,6 +357,7 @@ ORACLES = {
     "corun_solo_avg": f"with {_RUNS} select query, round(solo_ms, 6) as solo_ms from solo",
     "corun_stats": f"with {_RUNS} select combo, query, round(avg(total_ms), 6) as corun_ms from runs where run_no between 2 and 6 group by all",
     "corun_speedup": f"with {_RUNS}, st as (select combo, query, avg(total_ms) as ms from runs where run_no between 2 and 4 and combo not in (select combo from runs where error <> '') group by all) select combo, round(sum(solo_ms / ms), 9) as speedup from st join solo on split_part(st.query, '#', 1) = solo.query group by combo",
+    "corun_context": f"with {_RUNS} select * from runs",
     "corun_crashes": "with l as (select 'c' || (o_orderkey % 12) as combo, o_orderkey % 2 = 0 as err, case when o_orderkey % 7 = 0 then 'evicting region ' || o_orderstatus else '' end as line from orders) select combo, bool_or(err and line <> '') as crashed, bool_or(not err and contains(line, 'evicting region')) as evicted from l group by combo",
     "corun_triples": "with n as (select n_name as x from nation where n_regionkey = 1) select a.x as a, b.x as b, c.x as c from n a join n b on a.x < b.x join n c on b.x < c.x",
     "corun_pairs": "select a.n_name as a, b.n_name as b from nation a join nation b on a.n_name <= b.n_name",
