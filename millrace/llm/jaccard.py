@@ -45,7 +45,7 @@ from .common import broadcast_if_small, chunked, cut, packed, slices, staged, su
 from .components import components
 
 #: Least and most counters of the sketch, as powers of two; two bytes each travel to every task.
-SKETCH_BITS = (16, 24)
+SKETCH_BITS = (16, 22)
 #: Characters of text for a counter.
 SKETCH_CHARS = 8
 #: Most bits of the filter of wanted texts, as a power of two; beyond it the filter lets more through, and the join decides.
@@ -55,10 +55,10 @@ MOST_MATCHES = 8
 BLOCK, STAR = 256, 512
 HOT = 1 << 18
 #: Prefix shingles of a bucket, on average.
-BUCKET_TOKENS = 1_000_000
+BUCKET_TOKENS = 500_000
 #: A task sends its prefixes on after so many.
-FLUSH_TOKENS = 2_000_000
-TABLE_ENTRIES = 500_000
+FLUSH_TOKENS = 1_000_000
+TABLE_ENTRIES = 200_000
 
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
