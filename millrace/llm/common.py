@@ -71,8 +71,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(at, to - at)
 
 
-def map_texts(df: DataFrame, start: Callable[[], Callable[[list], list[pa.Array | list]]], schema: str) -> DataFrame:
-    """Applies a function to the column ``text``, a few MB at a time; all other columns pass through untouched.
+def map_texts(df: DataFrame, start: Callable[[], Callable[[list], list[pa.Array | list]]], schema: str, most: int = 4_000_000) -> DataFrame:
+    """Applies a function to the column ``text``, ``most`` bytes at a time; all other columns pass through untouched.
 
     ``start`` runs once a task and returns the function: a list of texts (None
     for null) to a list of new columns as ``schema`` names them. Ids stay Arrow
@@ -85,7 +85,7 @@ def map_texts(df: DataFrame, start: Callable[[], Callable[[list], list[pa.Array
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = start()
-        for batch in slices(batches):
+        for batch in slices(batches, most=most):
             new = fn(batch.column("text").to_pylist())
             cols = [batch.column(n) for n in names] + [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, arrow.field(len(names) + i).type) for i, c in enumerate(new)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)

@@ -34,6 +34,10 @@ from .common import chunked, crc_mod, keep_texts, map_texts, slices, staged, sum
 SAMPLE_ROWS = 2500
 #: Part of the toxic rows of the sample that a feature occurs in at least, and rows at least.
 RARE, RARE_ROWS = 0.002, 3
+#: By how many standard deviations a feature is more frequent in toxic rows than in clean ones, at least.
+DEVIATIONS = 2.0
+#: Bytes of text whose features are made at a time: they take much more room than the text.
+FEATURE_BYTES = 200_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: A prefix that so many different words of a text share is a further feature.
 SHARED_BY = (2, 3)
@@ -344,7 +348,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # one text an id; features are counted where they are, and only those worth a weight reach the driver, as numbers
     sample = rows.filter(F.col("doc_id").isin(list(chosen))).groupBy("doc_id").agg(F.min("text").alias("text"))
     sample = sample.withColumn("y", F.col("doc_id").isin([i for i, y in chosen.items() if y]).cast("int"))
-    marked = staged(map_texts(sample, start, "features array<string>"), "features")
+    marked = staged(map_texts(sample, start, "features array<string>", FEATURE_BYTES), "features")
     labels_of = {r["doc_id"]: r["y"] for r in marked.select("doc_id", "y").collect()}
     ids = sorted(labels_of)
     y = np.array([labels_of[i] for i in ids], np.int64)
@@ -352,12 +356,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     names: list[str] = []
     if n_pos and n_neg:
         seen = marked.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-        names = sorted(r["f"] for r in seen.filter((F.col("pos") >= max(RARE_ROWS, RARE * n_pos)) & (F.col("pos") * n_neg > F.col("neg") * n_pos)).select("f").collect())
+        share = (F.col("pos") + F.col("neg")) / (n_pos + n_neg)
+        apart = (F.col("pos") / n_pos - F.col("neg") / n_neg) > DEVIATIONS * F.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_neg))
+        names = sorted(r["f"] for r in seen.filter((F.col("pos") >= max(RARE_ROWS, RARE * n_pos)) & apart).select("f").collect())
     number = {f: i for i, f in enumerate(names)}
 
     def numbered(batches):
         for batch in batches:
-            kept = [np.array(sorted(number[f] for f in fs if f in number), np.int32).tobytes() for fs in batch.column("features").to_pylist()]
+            kept = [np.array(sorted(number[f] for f in fs.as_py() if f in number), np.int32).tobytes() for fs in batch.column("features")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary())], names=["doc_id", "kept"])
 
     of = {r["doc_id"]: np.frombuffer(r["kept"], np.int32) for r in marked.select("doc_id", "features").mapInArrow(numbered, "doc_id long, kept binary").collect()}
