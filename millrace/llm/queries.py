@@ -67,6 +67,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        # plain self-join on shingles: for tables of some thousands of documents
+        "op4_jaccard_join": r"""
+            with recursive t as (
+                select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws from documents),
+            s as (
+                select distinct doc_id, unnest(case when len(ws) >= 3 then list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as shingle from t),
+            n as (select doc_id, count(*) as n from s group by doc_id),
+            pairs as (select a.doc_id as u, b.doc_id as v, count(*) as both_have from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+            links as (select u, v from pairs join n x on x.doc_id = u join n y on y.doc_id = v where 100 * both_have >= 90 * (x.n + y.n - both_have)),
+            edges as (select u, v from links union all select v, u from links),
+            reach as (select doc_id as node, doc_id as seen from documents union select r.node, e.v from reach r join edges e on r.seen = e.u),
+            least as (select node, min(seen) as component_id from reach group by node)
+            select t.doc_id, coalesce(n.n, 0) as n_shingles, component_id from t left join n on t.doc_id = n.doc_id join least on t.doc_id = node
+        """,
         "op7_warc": """
             with t as (select page_id, coalesce(html, '') as body from pages),
             s as (select page_id, body, octet_length(encode(body)) as n from t),

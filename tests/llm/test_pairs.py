@@ -104,6 +104,21 @@ def test_jaccard_on_the_small_table_and_edges(spark):
     assert jaccard.near_groups(cases.frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op4_jaccard_join", "op7_warc", "op8_exact_dedup"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from millrace.llm import queries
+
+    sf, c = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    result = c.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, sf).select(*result.columns)
+    assert set(queries.oracle_sql()) == {"op4_jaccard_join", "op7_warc", "op8_exact_dedup"}
+    assert Counter(map(tuple, got.collect())) == Counter(result.fetchall())
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("900", f"{i}") for i in range(901, 920)] + [("x", "x")]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u string, v string")).collect()}
