@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -21,6 +23,35 @@ from pyspark.sql.pandas.types import to_arrow_schema
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def give_back_freed() -> None:
+    """What this process frees goes back to the system at once.
+
+    A Python worker outlives its tasks. By default the allocator keeps up to
+    64 MB of what one task freed, and Arrow's own pool keeps its batches, in each
+    of an executor's workers, beside the JVM.
+    """
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):  # not glibc
+        return
+    for option in (-3, -1):  # M_MMAP_THRESHOLD and M_TRIM_THRESHOLD: fixed, so they no longer grow
+        mallopt(option, 1 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+if getattr(getattr(sys.modules["__main__"], "__spec__", None), "name", "") == "pyspark.daemon":  # in a worker only
+    give_back_freed()
+
+#: Rows of an Arrow batch, where the session leaves Spark's default of 10,000: texts of some KB then take MB, not tens of MB, on both sides of a worker's pipe.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
@@ -78,6 +109,7 @@ def map_texts(df: DataFrame, start: Callable[[], Callable[[list], list[pa.Array
     for null) to a list of new columns as ``schema`` names them. Ids stay Arrow
     columns, so nulls and large values survive.
     """
+    small_batches(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name != "text"]
     out = T.StructType(kept + T._parse_datatype_string(schema).fields)
     names = [f.name for f in kept]
@@ -95,6 +127,7 @@ def map_texts(df: DataFrame, start: Callable[[], Callable[[list], list[pa.Array
 
 def keep_texts(df: DataFrame, start: Callable[[], Callable[[str | None], bool]], text_col: str = "text") -> DataFrame:
     """The rows whose text passes, all columns untouched, a few MB of text at a time. ``start`` runs once a task."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = start()
@@ -106,6 +139,7 @@ def keep_texts(df: DataFrame, start: Callable[[], Callable[[str | None], bool]],
 
 def replace_texts(df: DataFrame, start: Callable[[], Callable[[str], str]], text_col: str = "text") -> DataFrame:
     """``df`` with its texts rewritten, a few MB at a time; nulls and all other columns stay. ``start`` runs once a task."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         change = start()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, staged
+from .common import BROADCAST_BYTES, packed_numbers, slices, small_batches, staged, unpacked_numbers
 
 CAPACITY = 1024
 END_ID = 2
@@ -81,6 +81,7 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part i
 
 def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """The pieces of each document; ``(part, nth)`` is a piece's task and its place among the task's pieces of that length."""
+    small_batches(docs.sparkSession)
     schema = T._parse_datatype_string(PIECE + (", ids array<int>" if with_ids else ""))
     end = np.array([end_id], "<u4").tobytes()
 
@@ -166,12 +167,15 @@ def minimum_bin_slack(histogram: np.ndarray, capacity: int) -> list[tuple[list[i
         bins.append((items, times))
 
 
-def pack(pieces_df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces_df: DataFrame, capacity: int = CAPACITY, most: int = BROADCAST_BYTES) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to the rows of ``pieces``.
 
     The places of a length are numbered through all bins; piece number r of that
     length takes place r. Piece numbers come from counts by (part, length), so
-    a length that a third of all pieces share is no hot group.
+    a length that a third of all pieces share is no hot group. The counts of a
+    part are a row of some KB; all go to every task while they measure at most
+    ``most``, so that pieces stay where they were written; beyond it the pieces
+    shuffle to them.
 
     Defined cases: pieces of one length are alike, so ties go by (part, nth);
     ids may be null or repeat, further columns pass through; an empty table
@@ -210,10 +214,28 @@ def pack(pieces_df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             seq[i], off[i] = bin0[j] + copy, offset[j] + nth * one
         return pd.DataFrame({"sequence_id": seq, "offset": off})
 
-    placed = F.pandas_udf(place, "sequence_id long, offset long")
-    ranked = pieces_df.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    def of_part(pdf: pd.DataFrame) -> pd.DataFrame:
+        numbers = np.zeros(capacity + 1, np.int64)
+        numbers[pdf["length"].to_numpy()] = pdf["before"].to_numpy()
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "data": [packed_numbers(numbers)]})
+
     kept = [c for c in pieces_df.columns if c not in ("part", "nth")]
-    return ranked.withColumn("at", placed("length", "rank")).select(*kept, "at.sequence_id", "at.offset")
+    places_of = "sequence_id long, offset long"
+    parts = staged(before.groupBy("part").applyInPandas(of_part, "part int, data binary"), "parts")
+    if (parts.agg(F.sum(F.length("data"))).first()[0] or 0) > most:
+        rank = F.col("before") + F.col("nth")
+        ranked = pieces_df.join(before, ["part", "length"])
+        return ranked.withColumn("at", F.pandas_udf(place, places_of)("length", rank)).select(*kept, "at.sequence_id", "at.offset")
+    numbers_of = {r["part"]: bytes(r["data"]) for r in parts.collect()}
+
+    def place_in_part(part: pd.Series, length: pd.Series, nth: pd.Series) -> pd.DataFrame:
+        p, n, rank = part.to_numpy(), length.to_numpy(), nth.to_numpy().copy()
+        for one in np.unique(p):  # a file of pieces holds one part
+            i = np.flatnonzero(p == one)
+            rank[i] += unpacked_numbers(numbers_of[int(one)]).astype(np.int64)[n[i]]
+        return place(length, pd.Series(rank))
+
+    return pieces_df.withColumn("at", F.pandas_udf(place_in_part, places_of)("part", "length", "nth")).select(*kept, "at.sequence_id", "at.offset")
 
 
 def _running():

@@ -131,6 +131,41 @@ def test_packing_edges(spark):
     assert packing.pack_documents(cases.frame(spark, []), *TOK).count() == 0
 
 
+def test_pieces_stay_where_they_were_written(spark):
+    """Their ids are not shuffled to their places; where the counts are too many to send along, the places are the same."""
+    pieces = packing.pieces(cases.frame(spark).repartition(5), *TOK, capacity=16, with_ids=True)
+    stay, move = packing.pack(pieces, 16), packing.pack(pieces, 16, most=0)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (stay, move)]
+    assert ["Exchange" in p for p in plans] == [False, True]
+    rows = [sorted(df.collect(), key=lambda r: (r["sequence_id"], r["offset"])) for df in (stay, move)]
+    assert [(r["sequence_id"], r["offset"], r["length"]) for r in rows[0]] == [(r["sequence_id"], r["offset"], r["length"]) for r in rows[1]]
+    assert sum(r["length"] for r in rows[0]) == sum(len(r["ids"]) for r in rows[0]) > 100
+
+
+def test_workers_hold_little(spark):
+    """Batches of some MB, unless the session asks otherwise; and what is freed goes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        from millrace.llm import common
+
+        for batch in common.slices(batches):
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "pool": [pa.default_memory_pool().backend_name]})
+
+    try:
+        for asked, most in (("10000", 2000), ("9000", 9000)):
+            spark.conf.set(key, asked)
+            packing.pieces(cases.frame(spark), *TOK)
+            got = spark.range(0, 9500, 1, 1).selectExpr("'a' as text").mapInArrow(sizes, "n long, pool string").collect()
+            assert sum(r["n"] for r in got) == 9500 and max(r["n"] for r in got) == most
+            assert {r["pool"] for r in got} == {"system"}
+    finally:
+        spark.conf.set(key, before)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=40))
 def test_minimum_bin_slack_covers_the_histogram(lengths):
