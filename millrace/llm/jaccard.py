@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, chunked, cut, packed, slices, staged, summed_vector, unpacked, without
+from .common import broadcast_if_small, chunked, cut, packed, slices, small_batches, staged, summed_vector, unpacked, without
 from .components import components
 
 #: Least and most counters of the sketch, as powers of two; two bytes each travel to every task.
@@ -59,6 +59,8 @@ BUCKET_TOKENS = 500_000
 #: A task sends its prefixes on after so many.
 FLUSH_TOKENS = 1_000_000
 TABLE_ENTRIES = 200_000
+#: Bytes of a class's digest that name it in a bucket, and how a shingle is cut there. Where only the rest differs, more documents meet.
+NAME, SHORT = 8, np.uint32
 
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -185,7 +187,9 @@ def prefixes(docs: DataFrame, order: Order, shingle_words: int, buckets: int, ho
 
     Bucket -1: a document's id, set size, class and key. Bucket -2: a hot shingle
     (data) and a member. Bucket -3: a class with its size, the key of a text of
-    it, and its prefix in order. Others: the prefix shingles of a bucket, packed.
+    it, and its prefix in order. Others: the prefix shingles of a bucket, packed;
+    with many buckets hardly two shingles there share a class's name, so names
+    and shingles are cut short.
     """
 
     def run(batches):
@@ -214,7 +218,7 @@ def prefixes(docs: DataFrame, order: Order, shingle_words: int, buckets: int, ho
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 part = slice(edges[b], edges[b + 1])
                 used, of = np.unique(owner[part], return_inverse=True)
-                yield _rows([b], data=[packed(np.int64(len(used)).tobytes() + flat[used].tobytes() + sizes[used].tobytes() + of.astype(np.int32).tobytes() + both[part].tobytes())])
+                yield _rows([b], data=[packed(np.int64(len(used)).tobytes() + flat[used, :NAME].tobytes() + sizes[used].tobytes() + of.astype(np.int32).tobytes() + both[part].astype(SHORT).tobytes())])
 
         for batch in slices(batches):
             n, sig = [], []
@@ -239,19 +243,21 @@ def prefixes(docs: DataFrame, order: Order, shingle_words: int, buckets: int, ho
 
 
 def lead(blobs: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(leaders, members) as arrays of 16 bytes, distinct, of one bucket's shingles that several classes share."""
+    """(leaders, members) as arrays of ``NAME`` bytes, distinct, of one bucket's shingles that several classes share."""
     names, sizes, owner, tokens, base = [], [], [], [], 0
     for blob in map(unpacked, blobs):
         k = int(np.frombuffer(blob, np.int64, 1)[0])
-        names.append(np.frombuffer(blob, ">u8", 2 * k, 8))
-        sizes.append(np.frombuffer(blob, np.int64, k, 8 + 16 * k))
-        at = 8 + 24 * k
-        m = (len(blob) - at) // 12
+        names.append(np.frombuffer(blob, ">u8", k, 8))
+        sizes.append(np.frombuffer(blob, np.int64, k, 8 + NAME * k))
+        at = 8 + (NAME + 8) * k
+        m = (len(blob) - at) // (4 + SHORT().nbytes)
         owner.append(np.frombuffer(blob, np.int32, m, at) + base)
-        tokens.append(np.frombuffer(blob[at + 4 * m :], np.uint64))
+        tokens.append(np.frombuffer(blob[at + 4 * m :], SHORT))
         base += k
-    distinct, first, number = np.unique(np.concatenate(names).astype(np.uint64).reshape(-1, 2), axis=0, return_index=True, return_inverse=True)
-    n = np.concatenate(sizes)[first]
+    # by size too, so that no class takes the place of another that differs in it
+    both = np.stack([np.concatenate(names).astype(np.uint64), np.concatenate(sizes).astype(np.uint64)], axis=1)
+    distinct, number = np.unique(both, axis=0, return_inverse=True)
+    n = distinct[:, 1].astype(np.int64)
     token, who = np.concatenate(tokens), number.reshape(-1)[np.concatenate(owner)]
     # a class is a hair wider than the ratio, so rounding never puts a linked pair two classes apart
     level = np.floor(np.log(np.maximum(n, 1)) / (np.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9)).astype(np.int64)[who]
@@ -267,8 +273,8 @@ def lead(blobs: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
     several = np.bincount(group)[group] > 1
     leader = np.minimum.reduceat(who, np.flatnonzero(starts))[group]
     pairs = np.unique(leader[several].astype(np.int64) * len(distinct) + who[several])
-    as_bytes = distinct.astype(">u8")
-    return as_bytes[pairs // len(distinct)], as_bytes[pairs % len(distinct)]
+    named = np.unique(np.stack([distinct[pairs // len(distinct), 0], distinct[pairs % len(distinct), 0]], axis=1), axis=0).astype(">u8").view(np.uint8)
+    return named[:, :NAME], named[:, NAME:]
 
 
 def overlaps(doc: np.ndarray, token: np.ndarray, left: np.ndarray, right: np.ndarray, k: int, width: int = 8192) -> np.ndarray:
@@ -410,6 +416,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFr
 
 def classes_and_links(docs: DataFrame, shingle_words: int = 3, percent: int = 90, hot: int = HOT, block: int = BLOCK, star: int = STAR) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, n, sig) of each row of ``docs`` (doc_id, text; the key is a hash of the text); and links (u, v) between classes that span the components."""
+    small_batches(docs.sparkSession)
     docs = docs.withColumn("key", F.xxhash64("text"))
     order, total = sketch(docs, shingle_words, percent)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -420,12 +427,14 @@ def classes_and_links(docs: DataFrame, shingle_words: int = 3, percent: int = 90
         import pandas as pd
 
         a, b = lead(list(pdf["data"]), percent)
-        return pd.DataFrame({"cluster": [x.tobytes() for x in a], "sig": [x.tobytes() for x in b]}, columns=["cluster", "sig"])
-
-    met = made.filter("bucket >= 0").select("bucket", "data").groupBy("bucket").applyInPandas(leaders, "cluster binary, sig binary")
-    burning = made.filter("bucket = -2").select(F.col("data").alias("cluster"), "sig")
-    known = made.filter("bucket = -3").groupBy("sig").agg(F.min("n").alias("n"), F.min("key").alias("key"), F.min("data").alias("data"))
-    member = staged(met.unionByName(burning).distinct().join(known, "sig"), "members")
+        return pd.DataFrame({"cluster": [x.tobytes() for x in a], "name": [x.tobytes() for x in b]}, columns=["cluster", "name"])
+
+    name = F.substring("sig", 1, NAME).alias("name")
+    met = made.filter("bucket >= 0").select("bucket", "data").groupBy("bucket").applyInPandas(leaders, "cluster binary, name binary")
+    burning = made.filter("bucket = -2").select(F.col("data").alias("cluster"), name)
+    # dealt by name, which serves the join too, so prefixes shuffle once
+    known = made.filter("bucket = -3").withColumn("name", name).repartition("name").groupBy("name", "sig").agg(F.min("n").alias("n"), F.min("key").alias("key"), F.min("data").alias("data"))
+    member = staged(met.unionByName(burning).distinct().join(known, "name").drop("name"), "members")
 
     # each leader with its members
     size = cut(member.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.min("sig").alias("leader")).filter("m > 1"))

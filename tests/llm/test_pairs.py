@@ -86,6 +86,26 @@ def test_promising_loses_no_link():
         assert (good == brute).all() and may[good].all() and may.sum() < 0.2 * may.size
 
 
+def test_a_bucket_gets_short_names_and_shingles(spark):
+    """With more buckets than a prefix has shingles, one costs little more than a name and a shingle; what is cut meets, too."""
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 100)), i) for i in range(2000)], "doc_id long, text string, key long").coalesce(1)
+    order = jaccard.Order(np.ones(1 << 8, np.uint16), 0.0, 90)
+    rows = jaccard.prefixes(docs, order, 3, 64, 1 << 18).filter("bucket >= 0 or bucket = -3").collect()
+    tokens = sum(len(r["data"]) // 8 for r in rows if r["bucket"] == -3)
+    assert sum(len(r["data"]) for r in rows if r["bucket"] >= 0) < 18 * tokens
+
+    def blob(sig, sizes, owner, token):
+        flat = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, 16)[:, : jaccard.NAME]
+        return jaccard.packed(np.int64(len(sig)).tobytes() + flat.tobytes() + np.array(sizes, np.int64).tobytes() + np.array(owner, np.int32).tobytes() + np.array(token, np.uint64).astype(jaccard.SHORT).tobytes())
+
+    sig = [bytes([x]) * 16 for x in (9, 3, 200, 3)]
+    sig[3] = sig[1][:8] + bytes(8)  # another class of the same short name, of another size
+    far = 5 + (1 << 40)  # differs from 5 beyond what a bucket keeps
+    a, b = jaccard.lead([blob(sig[:2], [100, 100], [0, 1], [5, 5]), blob(sig[2:], [100, 97], [0, 1, 1], [far, 5, 7])], 90)
+    assert {(x.tobytes(), y.tobytes()) for x, y in zip(a, b)} == {(sig[1][:8], s[:8]) for s in sig}
+
+
 def test_a_large_group_of_near_copies_costs_a_row_each(spark):
     """No block of it meets another: all members link with their leader."""
     base = [f"w{i}" for i in range(200)]
